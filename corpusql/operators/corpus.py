@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.functions import text
-from corpusql.operators.ranking import range_of, take_first
+from corpusql.operators.ranking import mark_within, quota_cutoffs, range_of
 
 
 def filter_missing(pairs: DataFrame) -> DataFrame:
@@ -35,23 +35,35 @@ def reject_reason(executed: Column) -> Column:
 ARRIVAL = ["pair_id"]
 
 
-def quota_take(
+def mark_quota(
     valid: DataFrame,
     quotas: DataFrame,
+    pairs: DataFrame,
     arrival: list[str] = ARRIVAL,
     take: str = "remaining",
+    out: str = "within_quota",
 ) -> DataFrame:
-    """First ``take`` pairs of each schema in arrival order.
+    """Mark ``pairs`` that arrived no later than the last of the quota's ``valid`` pairs.
 
     ``arrival`` is a total order whose first column is a number.
     """
-    return take_first(
-        valid,
-        ["schema_name"],
-        range_of(valid, arrival[0]),
-        [F.col(c) for c in arrival],
-        quotas,
-        take,
+    ends = quota_cutoffs(
+        valid, ["schema_name"], range_of(valid, arrival[0]), arrival, quotas, take
+    )
+    return mark_within(pairs, ["schema_name"], arrival, ends, out)
+
+
+def quota_take(
+    valid: DataFrame,
+    quotas: DataFrame,
+    arrival: list[str] = ARRIVAL,
+    take: str = "remaining",
+) -> DataFrame:
+    """First ``take`` pairs of each schema in arrival order."""
+    return (
+        mark_quota(valid, quotas, valid, arrival, take)
+        .where("within_quota")
+        .drop("within_quota")
     )
 
 
@@ -63,14 +75,12 @@ def reject_funnel(
     take: str = "remaining",
 ) -> DataFrame:
     """Every pair with its ``reject_reason``; good pairs past the quota are ``over_quota``."""
-    judged = pairs.withColumn("_stage", reject_reason(executed))
-    good = judged.where(F.col("_stage").isNull()).select("schema_name", *arrival)
-    kept = quota_take(good, quotas, arrival, take).select(*arrival, F.lit(True).alias("_kept"))
-    over = F.when(F.col("_stage").isNull() & F.col("_kept").isNull(), F.lit("over_quota"))
-    return (
-        judged.join(kept, arrival, "left")
-        .withColumn("reject_reason", F.coalesce("_stage", over))
-        .drop("_kept", "_stage")
+    judged = pairs.withColumn("reject_reason", reject_reason(executed))
+    good = judged.where(F.col("reject_reason").isNull())
+    marked = mark_quota(good, quotas, judged, arrival, take)
+    over = F.when(~F.col("within_quota"), F.lit("over_quota"))
+    return marked.withColumn("reject_reason", F.coalesce("reject_reason", over)).drop(
+        "within_quota"
     )
 
 

@@ -167,56 +167,59 @@ def neighbours(
     ).drop("_prev", "_next", "_before", "_after", "_range")
 
 
-def take_first(
+def range_counts(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Rows per group and range; folded map-side, so a hot group costs no more."""
+    return df.groupBy(*keys, bucket.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quota_cutoffs(
     df: DataFrame,
     keys: list[str],
     bucket: Column,
-    order: list[Column],
+    order: list[str],
     quotas: DataFrame,
     take: str,
 ) -> DataFrame:
-    """The first ``take`` rows of each group, with ``take`` read from ``quotas``.
+    """Per group the place (``_cutoff``, a struct of ``order``) where its quota ends.
 
-    A histogram over ranges of the order finds the one range per group in which
-    the quota ends. Ranges before it are taken whole and ranges after it are
-    dropped by a map-side join; only that range is ever sorted. Groups without a
-    quota get nothing.
+    Running counts over ranges of the order find the one range in which ``take``
+    rows are reached; only that range is sorted. Groups that get nothing, or have
+    no quota, have no row. ``order`` must be total, its last column a unique id.
     """
-    ranged = df.withColumn("_range", bucket)
-    running = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_prior", F.coalesce(F.sum("_n").over(_before(keys, "_range")), F.lit(0)))
+    running = range_counts(df, keys, bucket).withColumn(
+        "_prior", F.coalesce(F.sum("_n").over(_before(keys, "_range")), F.lit(0))
     )
-    if keys:
-        # At most RANGES rows per group on one side, one on the other.
-        limits = running.join(quotas.select(*keys, take), keys)
-    else:
-        limits = running.withColumn(take, quotas.select(take).scalar())
-    cut = (
-        limits.where(F.col("_prior") < F.col(take))
+    # At most RANGES rows per group on one side, one row on the other.
+    last = (
+        running.join(quotas.select(*keys, take), keys)
+        .where(F.col("_prior") < F.col(take))
         .groupBy(*keys)
-        .agg(F.max_by(F.struct("_range", (F.col(take) - F.col("_prior")).alias("room"),
-                               F.col("_n").alias("size")), "_range").alias("_cut"))
-    )
-    if keys:
-        marked = _join_on(ranged, cut, keys, "inner")
-    else:
-        marked = ranged.withColumn("_cut", cut.select("_cut").scalar())
-    inside = (F.col("_range") < F.col("_cut._range")) | (
-        (F.col("_range") == F.col("_cut._range")) & (F.col("_cut.size") <= F.col("_cut.room"))
+        .agg(
+            F.max("_range").alias("_range"),
+            F.max_by(F.least(F.col(take) - F.col("_prior"), F.col("_n")), "_range").alias("_room"),
+        )
     )
-    whole = marked.where(inside)
-    ended = marked.where(
-        (F.col("_range") == F.col("_cut._range")) & (F.col("_cut.size") > F.col("_cut.room"))
+    inside = _join_on(
+        df.select(*keys, *[c for c in order if c not in keys], bucket.alias("_range")),
+        last,
+        [*keys, "_range"],
+        "inner",
     )
-    place = Window.partitionBy(*keys, "_range").orderBy(*order)
-    part = (
-        ended.withColumn("_rn", F.row_number().over(place))
-        .where(F.col("_rn") <= F.col("_cut.room"))
-        .drop("_rn")
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return (
+        inside.withColumn("_rn", F.row_number().over(place))
+        .where(F.col("_rn") == F.col("_room"))
+        .select(*keys, F.struct(*order).alias("_cutoff"))
     )
-    return whole.unionByName(part).drop("_range", "_cut")
+
+
+def mark_within(
+    df: DataFrame, keys: list[str], order: list[str], cutoffs: DataFrame, out: str
+) -> DataFrame:
+    """Add a boolean: is the row within its group's cutoff? A map-side join, no shuffle."""
+    joined = _join_on(df, cutoffs, keys, "left")
+    reached = F.coalesce(F.struct(*order) <= F.col("_cutoff"), F.lit(False))
+    return joined.withColumn(out, reached).drop("_cutoff")
 
 
 def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:

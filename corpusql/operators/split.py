@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.operators.ranking import take_first
-from corpusql.operators.sizing import broadcast_if_small
+from corpusql.operators.ranking import mark_within, quota_cutoffs
 
 STRATA = ["schema_name", "complexity"]
 # Hash prefixes of three hex digits make 4,096 ranges of about equal size.
@@ -30,34 +29,43 @@ def stratum_sizes(pairs: DataFrame, strata: list[str], test_size: int) -> DataFr
     return sizes.withColumn("n_test", F.greatest(F.lit(1), F.rint(share)).cast("bigint"))
 
 
-def test_members(
+def mark_test_side(
     pairs: DataFrame,
     test_size: int = 200,
     seed: int = 42,
     strata: list[str] = STRATA,
     id_col: str = "pair_id",
 ) -> DataFrame:
-    """Ids of the test side. Only ids, strata and hashes are shuffled."""
-    narrow = pairs.select(id_col, *strata)
-    picked = take_first(
-        narrow.withColumn("_h", _shuffle_key(seed, "", id_col)),
-        strata,
-        F.substring("_h", 1, PREFIX),
-        [F.col("_h"), F.col(id_col)],
-        stratum_sizes(narrow, strata, test_size),
-        "n_test",
-    ).select(id_col)
+    """Add ``in_test``. Only ids, strata and hashes are looked at, and no row moves.
+
+    A stratum's test rows are those before its cutoff in hash order; a cutoff is
+    one row per stratum.
+    """
+    place = ["_h", id_col]
+    prefix = F.substring("_h", 1, PREFIX)
+
+    def hashed(rows: DataFrame, purpose: str) -> DataFrame:
+        return rows.withColumn("_h", _shuffle_key(seed, purpose, id_col))
+
+    narrow = hashed(pairs.select(id_col, *strata), "")
+    sizes = stratum_sizes(narrow, strata, test_size).persist()
+    ends = quota_cutoffs(narrow, strata, prefix, place, sizes, "n_test").persist()
+    marked = mark_within(hashed(pairs, ""), strata, place, ends, "in_test")
+
     # Rounding up and the one-row minimum may ask for too much: random rows of
     # the test side go back until it has test_size. It is never topped up.
-    limit = picked.sparkSession.range(1).select(F.lit(test_size).alias("size"))
-    return take_first(
-        picked.withColumn("_h", _shuffle_key(seed, "|trim", id_col)),
-        [],
-        F.substring("_h", 1, PREFIX),
-        [F.col("_h"), F.col(id_col)],
-        limit,
-        "size",
-    ).select(id_col)
+    asked = sizes.agg(F.sum(F.least("n_test", "size"))).first()[0] or 0
+    if asked > test_size:
+        whole = F.lit(0)
+        picked = hashed(
+            mark_within(narrow, strata, place, ends, "in_test").where("in_test"), "|trim"
+        ).withColumn("_all", whole)
+        limit = sizes.select(whole.alias("_all"), F.lit(test_size).alias("size")).limit(1)
+        trim = quota_cutoffs(picked, ["_all"], prefix, place, limit, "size")
+        marked = mark_within(
+            hashed(marked, "|trim").withColumn("_all", whole), ["_all"], place, trim, "_kept"
+        ).withColumn("in_test", F.col("in_test") & F.col("_kept"))
+    return marked.select(*pairs.columns, "in_test")
 
 
 def stratified_split(
@@ -68,17 +76,15 @@ def stratified_split(
     id_col: str = "pair_id",
 ) -> DataFrame:
     """Every pair with ``side`` = ``test`` or ``train``; ``id_col`` must be unique."""
-    members = test_members(pairs, test_size, seed, strata, id_col).withColumn("_t", F.lit(True))
-    return (
-        pairs.join(broadcast_if_small(members), id_col, "left")
-        .withColumn("side", F.when(F.col("_t"), "test").otherwise("train"))
-        .drop("_t")
+    marked = mark_test_side(pairs, test_size, seed, strata, id_col)
+    return marked.withColumn("side", F.when(F.col("in_test"), "test").otherwise("train")).drop(
+        "in_test"
     )
 
 
-def train_side(pairs: DataFrame, members: DataFrame, id_col: str = "pair_id") -> DataFrame:
-    """All pairs but the test members: the rest of each stratum and what was trimmed."""
-    return pairs.join(broadcast_if_small(members), id_col, "left_anti")
+def train_side(split: DataFrame) -> DataFrame:
+    """The rest of every stratum together with what was trimmed from the test side."""
+    return split.where(F.col("side") == "train").drop("side")
 
 
 def split_report(split: DataFrame) -> DataFrame:

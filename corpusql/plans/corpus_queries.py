@@ -409,9 +409,9 @@ def _(t: Inputs) -> DataFrame:
     ),
 )
 def _(t: Inputs) -> DataFrame:
-    pairs = t("v_pairs")
-    members = split.test_members(pairs, 190)
-    return split.train_side(pairs, members).select("pair_id", "question", "sql")
+    pairs = t("v_pairs").select("pair_id", *split.STRATA, "question", "sql")
+    train = split.train_side(split.stratified_split(pairs, 190))
+    return train.select("pair_id", "question", "sql")
 
 
 # --- responses and questions --------------------------------------------------
