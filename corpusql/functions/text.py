@@ -73,6 +73,9 @@ FENCE = "```"
 
 # --- patterns built from them -------------------------------------------------
 
+# A visible character; one that is not a closing semicolon.
+_INK = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
+_INK_BEFORE_END = r"[^;\s\x0b\x1c-\x1f\x85\p{Z}]|;[^;]"
 _FOREIGN = "|".join(FOREIGN_DIALECT_PATTERNS)
 _SQL_BLOCK = rf"(?isu)```sql{WS}*(.*?){WS}*```"
 _BEFORE_BLOCK = r"(?isu)\A(.*?)```sql"
@@ -96,7 +99,7 @@ def strip_semicolons(text: Column) -> Column:
 
 def is_missing(text: Column) -> Column:
     """Null, empty or nothing but white space; never null itself."""
-    return F.coalesce(F.length(strip_ws(text)) == 0, F.lit(True))
+    return ~F.coalesce(text.rlike(_INK), F.lit(False))
 
 
 def is_valid_syntax(sql: Column) -> Column:
@@ -104,7 +107,7 @@ def is_valid_syntax(sql: Column) -> Column:
 
     The parser behind this rule does not validate, so only blank text fails.
     """
-    return ~is_missing(strip_semicolons(sql))
+    return F.coalesce(sql.rlike(_INK_BEFORE_END), F.lit(False))
 
 
 def executor_syntax_error(sql: Column) -> Column:

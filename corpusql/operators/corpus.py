@@ -47,10 +47,14 @@ def mark_quota(
 
     ``arrival`` is a total order whose first column is a number.
     """
+    # Judging a pair reads its text; its place is all the two passes below need.
+    places = valid.select("schema_name", *arrival).persist()
     ends = quota_cutoffs(
-        valid, ["schema_name"], range_of(valid, arrival[0]), arrival, quotas, take
+        places, ["schema_name"], range_of(pairs, arrival[0]), arrival, quotas, take
     )
-    return mark_within(pairs, ["schema_name"], arrival, ends, out)
+    marked = mark_within(pairs, ["schema_name"], arrival, ends, out)
+    places.unpersist()
+    return marked
 
 
 def quota_take(

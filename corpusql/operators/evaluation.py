@@ -124,13 +124,14 @@ def result_match(
     by_position: bool = False,
     digits: int | None = None,
     order_by: list[str] | None = None,
+    compare: list[str] | None = None,
 ) -> DataFrame:
     """Do two results agree? One row: ``matches`` and the number of differing rows.
 
     ``multiset`` ignores order, ``set`` also ignores repeats, ``ordered`` compares
     position by position after sorting both sides by ``order_by``, which must be
-    a total order. Nothing is capped. One shuffle; copies of a row are counted
-    before it.
+    a total order. ``compare`` leaves out columns that only serve to sort. Nothing
+    is capped. One shuffle; copies of a row are counted before it.
     """
     if mode not in ("multiset", "set", "ordered"):
         raise ValueError(f"unknown mode: {mode}")
@@ -139,6 +140,9 @@ def result_match(
             raise ValueError("ordered comparison needs order_by")
         keys = [F.col(c).asc_nulls_last() for c in order_by]
         left, right = (with_positions(side, keys, "_position") for side in (left, right))
+        compare = [*compare, "_position"] if compare else None
+    if compare:
+        left, right = left.select(*compare), right.select(*compare)
     left = _canonical(left, by_position, digits)
     right = _canonical(right, by_position, digits)
     if sorted(left.columns) != sorted(right.columns):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusql.functions import prompts, text
 from corpusql.functions.hooks import batch_embed, batch_generate
-from corpusql.functions.vectors import embed_input
+from corpusql.functions.vectors import dot, embed_input
 from corpusql.operators import corpus, planning, split, training
 from corpusql.plans.registry import named
 from corpusql.plans.views import Inputs
@@ -37,8 +37,8 @@ _QUESTION_TRIM = _STRIP.format("question")
 _MISSING = f"(length({_SQL_TRIM}) = 0 OR length({_QUESTION_TRIM}) = 0)"
 _VALID = f"(length({_STRIP.format('rtrim(sql, chr(59))')}) > 0)"
 _FOREIGN = (
-    r"regexp_matches(lower(sql), 'strftime\s*\(|datetime\s*\(\s*[''""]now|"
-    r"date\s*\(\s*[''""]now|julianday\s*\(|typeof\s*\(')"
+    r"""regexp_matches(lower(sql), 'strftime\s*\(|datetime\s*\(\s*[''"]now|"""
+    r"""date\s*\(\s*[''"]now|julianday\s*\(|typeof\s*\(')"""
 )
 _ACCEPTED = f"(NOT {_MISSING} AND {_VALID} AND NOT {_FOREIGN})"
 _RAN = "(chain_of_thought <> '')"
@@ -136,14 +136,22 @@ def _(t: Inputs) -> DataFrame:
     return split_ddl(t("v_registry").select("vec_id", "ddl"))
 
 
-@named("eval_sink")
+@named(
+    "eval_sink",
+    "SELECT 'nightly' AS run_name, schema_name, count(*) AS n, count(error) AS errors, "
+    "round(sum(bleu), 3) AS bleu FROM v_eval GROUP BY 2",
+)
 def _(t: Inputs) -> DataFrame:
     path = fresh_path(t.spark, "evaluations")
     write_evaluation(t("v_eval"), path, "nightly")
     return (
         t.spark.read.json(path)
         .groupBy("run_name", "schema_name")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("error").alias("errors"),
+            F.round(F.sum("bleu"), 3).alias("bleu"),
+        )
     )
 
 
@@ -528,11 +536,21 @@ def _(t: Inputs) -> DataFrame:
     return batch_generate(prompts_in, answer).select("pair_id", "response")
 
 
-@named("embed_input")
+@named(
+    "embed_input",
+    "SELECT pair_id, 384 AS width, CASE WHEN question = '' THEN 0.0::DOUBLE ELSE 1.0 END AS length,"
+    " true AS in_range FROM v_pairs",
+)
 def _(t: Inputs) -> DataFrame:
+    # The hash has no counterpart in SQL; width, length and range have.
     vectors = embed_input(t("v_pairs").select("pair_id", "question"), "question")
-    return vectors.select("pair_id", F.size("embedding").alias("width"),
-                          F.array_max("embedding").alias("largest"))
+    v = F.col("embedding")
+    return vectors.select(
+        "pair_id",
+        F.size(v).alias("width"),
+        F.round(F.sqrt(dot(v, v)), 6).alias("length"),
+        ((F.array_min(v) >= -1) & (F.array_max(v) <= 1)).alias("in_range"),
+    )
 
 
 @named(
