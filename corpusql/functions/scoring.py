@@ -12,6 +12,7 @@ import math
 import re
 import sys
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -30,6 +31,8 @@ MAX_ORDER = 4
 EPSILON = 0.1
 DIGITS = 4
 
+_find_tokens = re.compile(SQL_TOKEN).findall
+
 # The same classes spelled out for Java's regular expressions, where \w is ASCII.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -39,27 +42,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def _bag_score(ref: list[str], hyp: list[str]) -> float:
-    if not hyp:
+# Templates and repeated queries make many equal texts; a few recent ones are kept.
+@lru_cache(maxsize=256)
+def _words(text: str) -> list[str]:
+    return _find_tokens(text)
+
+
+@lru_cache(maxsize=256)
+def _grams(text: str, n: int) -> Counter:
+    words = _words(text)
+    return Counter(zip(*(words[i:] for i in range(n))))
+
+
+def _score(reference: str, hypothesis: str) -> float:
+    length = len(_words(hypothesis))
+    if not length:
         return 0.0
     logs = []
+    hits = length
     for n in range(1, MAX_ORDER + 1):
-        have = Counter(zip(*(hyp[i:] for i in range(n))))
-        want = Counter(zip(*(ref[i:] for i in range(n))))
-        hits = (have & want).total()
-        if n == 1 and hits == 0:
+        # Without a common n-gram there is no longer one either.
+        if hits:
+            hits = (_grams(hypothesis, n) & _grams(reference, n)).total()
+        if n == 1 and not hits:
             return 0.0
-        logs.append(math.log((hits or EPSILON) / max(1, len(hyp) - n + 1)))
-    shortfall = min(0.0, 1.0 - len(ref) / len(hyp))
+        logs.append(math.log((hits or EPSILON) / max(1, length - n + 1)))
+    shortfall = min(0.0, 1.0 - len(_words(reference)) / length)
     return round(math.exp(shortfall + math.fsum(logs) / MAX_ORDER), DIGITS)
 
 
 @F.pandas_udf(DoubleType())
 def _bleu_batch(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    find = re.compile(SQL_TOKEN).findall
-    return pd.Series(
-        [_bag_score(find(r), find(h)) for r, h in zip(reference, hypothesis)], dtype="float64"
-    )
+    return pd.Series(map(_score, reference, hypothesis), dtype="float64")
 
 
 def bleu(reference: Column, hypothesis: Column) -> Column:
