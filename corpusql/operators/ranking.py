@@ -177,22 +177,26 @@ def quota_cutoffs(
     keys: list[str],
     bucket: Column,
     order: list[str],
-    quotas: DataFrame,
-    take: str,
+    quotas: DataFrame | int,
+    take: str = "take",
 ) -> DataFrame:
     """Per group the place (``_cutoff``, a struct of ``order``) where its quota ends.
 
     Running counts over ranges of the order find the one range in which ``take``
     rows are reached; only that range is sorted. Groups that get nothing, or have
-    no quota, have no row. ``order`` must be total, its last column a unique id.
+    no quota, have no row. ``quotas`` is a table of ``take`` per group, or one number
+    for every group; ``order`` must be total, its last column a unique id.
     """
     running = range_counts(df, keys, bucket).withColumn(
         "_prior", F.coalesce(F.sum("_n").over(_before(keys, "_range")), F.lit(0))
     )
     # At most RANGES rows per group on one side, one row on the other.
+    if isinstance(quotas, int):
+        limited = running.withColumn(take, F.lit(quotas))
+    else:
+        limited = running.join(quotas.select(*keys, take), keys)
     last = (
-        running.join(quotas.select(*keys, take), keys)
-        .where(F.col("_prior") < F.col(take))
+        limited.where(F.col("_prior") < F.col(take))
         .groupBy(*keys)
         .agg(
             F.max("_range").alias("_range"),

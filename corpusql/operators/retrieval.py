@@ -19,6 +19,8 @@ TOP_K = 5
 BLOCK_ROWS = 2048
 # Distances are ranked at this precision, so that equal vectors tie.
 RANK_DIGITS = 9
+# Distances that are numbers come first, then those of zero vectors, then unknown ones.
+NUMBER, UNDEFINED, MISSING = 0, 1, 2
 
 
 def retrieve_tables(
@@ -46,25 +48,28 @@ def _nearest_in_block(k: int):
     """Local top k of one block of questions against one block of tables."""
 
     def nearest(questions: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-        out = {"question_id": [], "table_name": [], "distance": [], "missing": []}
-        if len(questions) and len(tables):
-            tables = tables.sort_values("table_name", kind="stable")
-            names = tables["table_name"].to_numpy()
-            q_ok = questions["q_vec"].notna().to_numpy()
-            t_ok = tables["t_vec"].notna().to_numpy()
-            dist = np.full((len(questions), len(tables)), np.nan)
-            if q_ok.any() and t_ok.any():
-                cos = _unit_rows(questions["q_vec"][q_ok]) @ _unit_rows(tables["t_vec"][t_ok]).T
-                dist[np.ix_(q_ok, t_ok)] = np.round(1.0 - cos, RANK_DIGITS)
-            missing = ~(q_ok[:, None] & t_ok[None, :])
-            for row, question_id in enumerate(questions["question_id"]):
-                # Numbers, then NaN, then missing; names decide ties.
-                order = np.lexsort((dist[row], missing[row]))[:k]
-                out["question_id"].extend([question_id] * len(order))
-                out["table_name"].extend(names[order])
-                out["distance"].extend(dist[row][order])
-                out["missing"].extend(missing[row][order])
-        return pd.DataFrame(out)
+        if questions.empty or tables.empty:
+            return pd.DataFrame()
+        tables = tables.sort_values("table_name", kind="stable")
+        q_ok = questions["q_vec"].notna().to_numpy()
+        t_ok = tables["t_vec"].notna().to_numpy()
+        dist = np.full((len(questions), len(tables)), np.nan)
+        if q_ok.any() and t_ok.any():
+            cos = _unit_rows(questions["q_vec"][q_ok]) @ _unit_rows(tables["t_vec"][t_ok]).T
+            dist[np.ix_(q_ok, t_ok)] = np.round(1.0 - cos, RANK_DIGITS)
+        known = q_ok[:, None] & t_ok[None, :]
+        kind = np.where(~known, MISSING, np.where(np.isnan(dist), UNDEFINED, NUMBER))
+        # Stable, so that names decide ties.
+        best = np.lexsort((dist, kind), axis=1)[:, :k]
+        rows = np.arange(len(questions))[:, None]
+        return pd.DataFrame(
+            {
+                "question_id": np.repeat(questions["question_id"].to_numpy(), best.shape[1]),
+                "table_name": tables["table_name"].to_numpy()[best].ravel(),
+                "distance": dist[rows, best].ravel(),
+                "kind": kind[rows, best].ravel(),
+            }
+        )
 
     return nearest
 
@@ -118,10 +123,10 @@ def vector_topk(
         .cogroup(t.groupBy(*cell))
         .applyInPandas(
             _nearest_in_block(k),
-            f"question_id {id_type}, table_name string, distance double, missing boolean",
+            f"question_id {id_type}, table_name string, distance double, kind int",
         )
     )
-    best = Window.partitionBy("question_id").orderBy("missing", "distance", "table_name")
+    best = Window.partitionBy("question_id").orderBy("kind", "distance", "table_name")
     return (
         local.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -129,7 +134,10 @@ def vector_topk(
             "question_id",
             "rank",
             "table_name",
-            F.when(~F.col("missing"), F.col("distance")).alias("distance"),
+            # Arrow hands NaN over as null, so it is set again here.
+            F.when(F.col("kind") == NUMBER, F.col("distance"))
+            .when(F.col("kind") == UNDEFINED, F.lit(float("nan")))
+            .alias("distance"),
         )
     )
 

@@ -56,15 +56,10 @@ def mark_test_side(
     # the test side go back until it has test_size. It is never topped up.
     asked = sizes.agg(F.sum(F.least("n_test", "size"))).first()[0] or 0
     if asked > test_size:
-        whole = F.lit(0)
-        picked = hashed(
-            mark_within(narrow, strata, place, ends, "in_test").where("in_test"), "|trim"
-        ).withColumn("_all", whole)
-        limit = sizes.select(whole.alias("_all"), F.lit(test_size).alias("size")).limit(1)
-        trim = quota_cutoffs(picked, ["_all"], prefix, place, limit, "size")
-        marked = mark_within(
-            hashed(marked, "|trim").withColumn("_all", whole), ["_all"], place, trim, "_kept"
-        ).withColumn("in_test", F.col("in_test") & F.col("_kept"))
+        picked = mark_within(narrow, strata, place, ends, "in_test").where("in_test")
+        trim = quota_cutoffs(hashed(picked, "|trim"), [], prefix, place, test_size)
+        kept = F.struct(*place) <= trim.select("_cutoff").scalar()
+        marked = hashed(marked, "|trim").withColumn("in_test", F.col("in_test") & kept)
     return marked.select(*pairs.columns, "in_test")
 
 
