@@ -107,12 +107,11 @@ def distribution(pairs: DataFrame, column: str, percent: bool = False) -> DataFr
 def feature_coverage(pairs: DataFrame) -> DataFrame:
     """Pairs per feature and percent of all pairs; unused features have no row."""
     names = list(text.SQL_FEATURES)
-    sql = F.col("sql")
     sums = [
-        F.count(F.when(text.has_feature(sql, name), 1)).alias(f"f{i}")
+        F.count(F.when(F.col("_upper").contains(text.SQL_FEATURES[name]), 1)).alias(f"f{i}")
         for i, name in enumerate(names)
     ]
-    wide = pairs.agg(F.count(F.lit(1)).alias("total"), *sums)
+    wide = pairs.select(F.upper("sql").alias("_upper")).agg(F.count(F.lit(1)).alias("total"), *sums)
     long = wide.select(
         "total",
         F.inline(
@@ -132,15 +131,13 @@ def feature_coverage(pairs: DataFrame) -> DataFrame:
 
 
 def sample_per_complexity(pairs: DataFrame, limit: int = 4) -> DataFrame:
-    """First pair of each complexity; the ``limit`` that come first in the corpus."""
-    row = F.struct(*pairs.columns)
-    return (
-        pairs.groupBy("complexity")
-        .agg(F.min_by(row, "pair_id").alias("pair"))
-        .select("pair.*")
-        .orderBy("pair_id")
-        .limit(limit)
-    )
+    """First pair of each complexity; the ``limit`` that come first in the corpus.
+
+    The first ids are found by a hash aggregate over ids alone, then looked up.
+    """
+    firsts = pairs.groupBy("complexity").agg(F.min("pair_id").alias("pair_id"))
+    wanted = firsts.orderBy("pair_id").limit(limit).select("pair_id")
+    return pairs.join(F.broadcast(wanted), "pair_id", "left_semi").orderBy("pair_id")
 
 
 def quality_issues(pairs: DataFrame) -> DataFrame:

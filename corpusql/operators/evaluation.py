@@ -19,36 +19,48 @@ CANDIDATE_LIMIT = 1000
 BLOCKS_PER_STRETCH = 1_000_000
 
 
+METRICS = {
+    "execution_accuracy": "exec_match",
+    "validity_rate": "exec_success",
+    "avg_bleu": "bleu",
+}
+
+
 def eval_rollup(rows: DataFrame) -> DataFrame:
-    """Metrics overall, per schema and per complexity, in one aggregate.
+    """Metrics overall, per schema and per complexity.
 
     ``validity_rate`` is the share of queries that ran, not of those that parse.
+    Rows are folded by schema and complexity first; the grouping sets then copy
+    that small table and not the rows.
     """
-    mean = lambda c: F.avg(F.col(c).cast("double"))
+    folded = rows.groupBy("schema_name", "complexity").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(F.col(c).cast("double")).alias(f"_sum_{m}") for m, c in METRICS.items()],
+        *[F.count(c).alias(f"_n_{m}") for m, c in METRICS.items()],
+    )
+    level = (
+        F.when(F.grouping("schema_name") == 0, "schema_name")
+        .when(F.grouping("complexity") == 0, "complexity")
+        .otherwise("overall")
+    )
     return (
-        rows.groupingSets(
-            [[], ["schema_name"], ["complexity"]],
-            "schema_name",
-            "complexity",
+        folded.groupingSets(
+            [[], ["schema_name"], ["complexity"]], "schema_name", "complexity"
         )
         .agg(
-            F.when(F.grouping("schema_name") == 0, "schema_name")
-            .when(F.grouping("complexity") == 0, "complexity")
-            .otherwise("overall")
-            .alias("level"),
-            mean("exec_match").alias("execution_accuracy"),
-            mean("exec_success").alias("validity_rate"),
-            mean("bleu").alias("avg_bleu"),
-            F.count(F.lit(1)).alias("total_evaluated"),
+            level.alias("level"),
+            *[
+                (F.sum(f"_sum_{m}") / F.nullif(F.sum(f"_n_{m}"), F.lit(0))).alias(m)
+                for m in METRICS
+            ],
+            F.sum("_rows").alias("total_evaluated"),
         )
         .select(
             "level",
             F.when(F.col("level") == "schema_name", F.col("schema_name"))
             .when(F.col("level") == "complexity", F.col("complexity"))
             .alias("value"),
-            "execution_accuracy",
-            "validity_rate",
-            "avg_bleu",
+            *METRICS,
             "total_evaluated",
         )
     )

@@ -116,10 +116,15 @@ def stream_batches(
     An epoch may be replayed after a failure; write by epoch to stay exactly-once.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
+
+    def run(epoch_rows: DataFrame, epoch: int) -> None:
+        # Numbering looks at the rows twice; the source is read once.
+        epoch_rows.persist()
+        handle(failure_batches(epoch_rows, rows, seconds), epoch)
+        epoch_rows.unpersist()
+
     return (
-        failures.writeStream.foreachBatch(
-            lambda batch, epoch: handle(failure_batches(batch, rows, seconds), epoch)
-        )
+        failures.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
