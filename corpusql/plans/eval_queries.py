@@ -38,8 +38,8 @@ def _(t: Inputs) -> DataFrame:
 @named(
     "running_eval",
     """SELECT step AS evaluated, ex AS execution_accuracy, ok AS validity_rate
-    FROM (SELECT step, avg(CAST(exec_match AS INT)) OVER w AS ex,
-        avg(CAST(exec_success AS INT)) OVER w AS ok FROM v_eval
+    FROM (SELECT step, CAST(sum(CAST(exec_match AS INT)) OVER w AS DOUBLE) / step AS ex,
+        CAST(sum(CAST(exec_success AS INT)) OVER w AS DOUBLE) / step AS ok FROM v_eval
       WINDOW w AS (ORDER BY step ROWS UNBOUNDED PRECEDING))
     WHERE step % 10 = 0""",
 )

@@ -17,7 +17,11 @@ def shared_root(spark: SparkSession) -> str:
     its checkpoint folder; on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
-    root = context.getConf().get(SETTING, None) or context.getCheckpointDir()
+    root = (
+        spark.conf.get(SETTING, None)
+        or context.getConf().get(SETTING, None)
+        or context.getCheckpointDir()
+    )
     if root:
         return root
     if not context.master.startswith("local"):
