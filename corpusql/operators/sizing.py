@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(small: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``small`` with a broadcast hint if it holds at most ``max_rows`` rows.
 
     Larger tables come back without the hint, so the join shuffles and adaptive
     execution splits skewed partitions. The rows are counted once and kept for
     the join; a lost executor only means they are worked out again.
     """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
     if small.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(small)
     return small
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on ``keys``; true for no keys."""
-    return reduce(
-        lambda acc, k: acc & left[k].eqNullSafe(right[k]), keys, F.lit(True)
-    )

@@ -94,12 +94,12 @@ def failure_batches(
 ) -> DataFrame:
     """Failures with the batch they are handled in: at most ``rows`` or ``seconds``.
 
-    A minute with very many failures is numbered second by second.
+    A minute with very many failures is numbered millisecond by millisecond.
     """
     minute = failures.withColumn("window_start", F.window("created_at", f"{seconds} seconds").start)
-    second = F.date_trunc("second", "created_at")
+    instant = F.date_trunc("millisecond", "created_at")
     order = [F.col("created_at"), F.col("query_id")]
-    numbered = row_numbers(minute, ["window_start"], order, second, "_rn", hot_rows)
+    numbered = row_numbers(minute, ["window_start"], order, instant, "_rn", hot_rows)
     return numbered.withColumn("batch", F.ceil(F.col("_rn") / rows)).drop("_rn")
 
 

@@ -106,3 +106,18 @@ def test_percentiles(spark, values):
             f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)",
         ).first()
         assert got[name] == (pytest.approx(want[0]), want[1]), name
+
+
+def test_without_any_broadcast(spark, rows, monkeypatch):
+    """Tables that outgrow the limit are joined by a shuffle, with the same result."""
+    from corpusql.operators import sizing
+
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for case in (test_row_numbers, test_ranks, test_neighbours):
+            case(spark, rows, 20)
+        test_quota_cutoffs(spark, rows, 150)
+        test_percentiles(spark, [float(i % 97) for i in range(3000)])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
