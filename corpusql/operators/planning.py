@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusql.functions.prompts import generation_prompt
+from corpusql.operators.sizing import broadcast_if_small
+
 # --- fixed values -------------------------------------------------------------
 
 SCHEMAS = ("ecommerce", "saas_analytics", "healthcare", "fintech", "hr_system")
@@ -40,6 +43,8 @@ COMPLEXITY_TARGETS = {
 }
 REMAINDER_GOES_TO = "moderate"
 ATTEMPTS_PER_PAIR = 4
+BATCH_SIZE = 10
+SPARE_PAIRS = 5
 
 
 def complexity_targets(spark: SparkSession) -> DataFrame:
@@ -98,6 +103,37 @@ def generation_plan(
     )
 
 
+def generation_prompts(
+    plan: DataFrame, schemas: DataFrame, batch_size: int = BATCH_SIZE
+) -> DataFrame:
+    """One request per batch the plan still needs.
+
+    ``schemas`` has ``schema_name``, ``schema_ddl`` and ``sample_values``. A batch asks
+    for ``batch_size`` pairs, the last one for what is left and a few to spare.
+    """
+    batches = F.ceil(F.col("planned") / batch_size).cast("int")
+    left = F.col("planned") - (F.col("batch") - 1) * batch_size
+    numbered = (
+        plan.where(F.col("planned") > 0)
+        .select("schema_name", "complexity", "planned",
+                F.explode(F.sequence(F.lit(1), batches)).alias("batch"))
+        .withColumn("batch_size", F.least(F.lit(batch_size), left + SPARE_PAIRS).cast("int"))
+    )
+    # Four constant rows.
+    targets = F.broadcast(complexity_targets(plan.sparkSession))
+    asked = numbered.join(targets, "complexity").join(broadcast_if_small(schemas), "schema_name")
+    return asked.select(
+        "schema_name",
+        "complexity",
+        "batch",
+        "batch_size",
+        generation_prompt(
+            *[F.col(c) for c in ("schema_ddl", "sample_values", "batch_size", "complexity",
+                                 "description", "features")]
+        ).alias("prompt"),
+    )
+
+
 def resume_append(existing: DataFrame, new: DataFrame, total_pairs: int,
                   schemas: tuple[str, ...] = SCHEMAS) -> DataFrame:
     """New pairs of unfinished schemas only; append them to the corpus.

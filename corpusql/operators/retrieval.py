@@ -59,15 +59,21 @@ def _nearest_in_block(k: int):
             dist[np.ix_(q_ok, t_ok)] = np.round(1.0 - cos, RANK_DIGITS)
         known = q_ok[:, None] & t_ok[None, :]
         kind = np.where(~known, MISSING, np.where(np.isnan(dist), UNDEFINED, NUMBER))
-        # Stable, so that names decide ties.
-        best = np.lexsort((dist, kind), axis=1)[:, :k]
-        rows = np.arange(len(questions))[:, None]
+        # Candidates are all tables no farther than the k-th number, ties included;
+        # only they are ordered: kind, distance, then name.
+        key = np.where(kind == NUMBER, dist, np.inf)
+        bound = np.partition(key, k - 1, axis=1)[:, [k - 1]] if k < key.shape[1] else np.inf
+        row, col = np.nonzero(key <= bound)
+        order = np.lexsort((col, dist[row, col], kind[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
         return pd.DataFrame(
             {
-                "question_id": np.repeat(questions["question_id"].to_numpy(), best.shape[1]),
-                "table_name": tables["table_name"].to_numpy()[best].ravel(),
-                "distance": dist[rows, best].ravel(),
-                "kind": kind[rows, best].ravel(),
+                "question_id": questions["question_id"].to_numpy()[row],
+                "table_name": tables["table_name"].to_numpy()[col],
+                "distance": dist[row, col],
+                "kind": kind[row, col],
             }
         )
 

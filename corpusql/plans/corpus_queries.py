@@ -422,6 +422,58 @@ def _(t: Inputs) -> DataFrame:
     return train.select("pair_id", "question", "sql")
 
 
+# Per schema the order states seen in the corpus; a schema has a handful of them.
+_SCHEMA_DOCS = """SELECT schema_name, ' CREATE TABLE ' || schema_name || ' (id INTEGER); '
+    AS schema_ddl, CASE WHEN chain_of_thought = '' THEN 'silent' ELSE 'reasoned' END AS v
+  FROM v_pairs"""
+
+
+def template_oracle(template: str, **values: str) -> str:
+    """A prompt template as a DuckDB expression."""
+    out = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+_TARGET_ROWS = ", ".join(
+    "('{}', '{}', '{}')".format(name, description, ", ".join(features))
+    for name, (_, description, features) in planning.COMPLEXITY_TARGETS.items()
+)
+
+
+@named(
+    "generation_prompt",
+    "WITH " + _QUOTAS.format(total=RESUME_TOTAL) + f"""
+    , targets(complexity, weight, description, features) AS (SELECT col0, w, col1, col2 FROM
+        (VALUES {_TARGET_ROWS}) t JOIN (VALUES ('simple', 0.25::DOUBLE), ('moderate', 0.35::DOUBLE),
+        ('complex', 0.25::DOUBLE), ('highly_complex', 0.15::DOUBLE)) x(n, w) ON n = col0),
+    cut AS (SELECT *, CAST(trunc(remaining * weight) AS BIGINT) AS p FROM quotas, targets),
+    plan AS (SELECT *, CAST(CASE WHEN complexity = 'moderate' THEN p + remaining
+        - sum(p) OVER (PARTITION BY schema_name) ELSE p END AS BIGINT) AS planned FROM cut),
+    docs AS (SELECT schema_name, schema_ddl, string_agg(DISTINCT v, ', ' ORDER BY v) AS vs
+      FROM ({_SCHEMA_DOCS}) GROUP BY ALL),
+    batches AS (SELECT *, unnest(range(1, CAST(ceil(planned / 10) AS INT) + 1)) AS b FROM plan),
+    sized AS (SELECT *, CAST(b AS INT) AS batch,
+        CAST(least(10, planned - (b - 1) * 10 + 5) AS INT) AS batch_size FROM batches)
+    SELECT schema_name, complexity, batch, batch_size, """
+    + template_oracle(
+        prompts.GENERATION_TEMPLATE, schema="trim(schema_ddl)", samples="'  - style: ' || vs",
+        batch_size="batch_size", complexity="complexity", description="description",
+        features="features",
+    )
+    + " AS prompt FROM sized JOIN docs USING (schema_name)",
+)
+def _(t: Inputs) -> DataFrame:
+    t("v_pairs").createOrReplaceTempView("v_pairs")
+    styles = F.array_sort(F.collect_set("v"))
+    docs = t.spark.sql(_SCHEMA_DOCS).groupBy("schema_name", "schema_ddl").agg(
+        F.create_map(F.lit("style"), styles).alias("sample_values")
+    )
+    plan = planning.generation_plan(_existing(t), RESUME_TOTAL)
+    return planning.generation_prompts(plan, docs)
+
+
 # --- responses and questions --------------------------------------------------
 
 
@@ -608,14 +660,6 @@ def _(t: Inputs) -> DataFrame:
     return rows.select("vec_id", shown.alias("ddl"))
 
 
-def template_oracle(template: str, **values: str) -> str:
-    """A prompt template as a DuckDB expression."""
-    out = "'" + template.replace("'", "''") + "'"
-    for name, value in values.items():
-        out = out.replace("{" + name + "}", f"' || {value} || '")
-    return out
-
-
 @named(
     "build_eval_prompt",
     "SELECT pair_id, "

@@ -9,7 +9,7 @@ from corpusql.functions import prompts, text
 from corpusql.functions.scoring import bleu
 from corpusql.operators import evaluation, querylog, retrieval
 from corpusql.plans.corpus_queries import ENRICHED, template_oracle, with_samples
-from corpusql.plans.flows import answer_questions
+from corpusql.plans.flows import answer_questions, register_schema
 from corpusql.plans.registry import named
 from corpusql.plans.views import Inputs
 from corpusql.sources.tables import append_log, replace_schema, write_registry
@@ -343,6 +343,26 @@ def _(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(target).select("schema_name", "table_name", "ddl")
 
 
+@named(
+    "register_schema",
+    """SELECT schema_name, table_name, NULL AS chars FROM v_registry
+      WHERE schema_name <> 'schema_1'
+    UNION ALL SELECT 'schema_1', table_name, CAST(length('Table: ' || table_name || CASE WHEN
+        description <> '' THEN chr(10) || 'Description: ' || description ELSE '' END
+        || chr(10) || ddl) AS FLOAT) FROM v_registry WHERE schema_name = 'schema_2'""",
+)
+def _(t: Inputs) -> DataFrame:
+    registry = t("v_registry").drop("vec_id", "embedding")
+    tables = registry.where(F.col("schema_name") == "schema_2").drop("schema_name")
+
+    def embed(texts):
+        return texts.map(lambda s: [float(len(s))])
+
+    registered = register_schema(registry.withColumn(
+        "embedding", F.lit(None).cast("array<float>")), "schema_1", tables, embed)
+    return registered.select("schema_name", "table_name", F.col("embedding")[0].alias("chars"))
+
+
 # --- query log ----------------------------------------------------------------
 
 

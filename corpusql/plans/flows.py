@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.functions.hooks import batch_generate
-from corpusql.functions.prompts import build_prompts, enrich_ddl, eval_prompt
+from corpusql.functions.hooks import batch_embed, batch_generate
+from corpusql.functions.prompts import build_prompts, enrich_ddl, eval_prompt, table_text
 from corpusql.functions.text import extract_sql, sanitize_sql
 from corpusql.operators.corpus import parse_batch, reject_funnel
 from corpusql.operators.evaluation import eval_rollup, evaluate_pairs
 from corpusql.operators.planning import resume_append, schema_status
+from corpusql.operators.querylog import registry_replace
 from corpusql.operators.retrieval import retrieval_batch
 
 
@@ -23,6 +24,17 @@ def _with_sql(responses: DataFrame) -> DataFrame:
     ).drop("_x", "response")
 
 
+def register_schema(
+    registry: DataFrame, schema_name: str, tables: DataFrame, embed: Callable | None = None
+) -> DataFrame:
+    """The registry with a schema's tables replaced, each embedded by its text."""
+    described = tables.withColumn(
+        "_text", table_text(F.col("table_name"), F.col("description"), F.col("ddl"))
+    )
+    embedded = batch_embed(described, "_text", embed).drop("_text")
+    return registry_replace(registry, schema_name, embedded)
+
+
 def answer_questions(
     questions: DataFrame,
     registry: DataFrame,

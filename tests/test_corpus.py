@@ -70,6 +70,26 @@ def test_generation_plan(spark):
     assert all(r["attempt_budget"] == 4 * r["remaining"] for r in plan)
 
 
+def test_generation_prompts(spark):
+    plan = planning.generation_plan(pairs(spark, 100), 250)
+    schemas = spark.createDataFrame(
+        [("fintech", " CREATE TABLE f () ", {"c": ["x", "y"]}), ("hr_system", "CREATE TABLE h ()", {})],
+        "schema_name string, schema_ddl string, sample_values map<string,array<string>>",
+    )
+    got = planning.generation_prompts(plan, schemas, 5).collect()
+    planned = {(r["schema_name"], r["complexity"]): r["planned"] for r in plan.collect()}
+    for schema in ("fintech", "hr_system"):
+        for complexity, (_, description, features) in planning.COMPLEXITY_TARGETS.items():
+            batches = [r for r in got if (r["schema_name"], r["complexity"]) == (schema, complexity)]
+            n = planned[schema, complexity]
+            assert len(batches) == -(-n // 5)
+            assert all(r["batch_size"] == min(5, n - 5 * (r["batch"] - 1) + 5) for r in batches)
+            for r in batches:
+                assert description in r["prompt"] and ", ".join(features) in r["prompt"]
+                assert ("  - c: x, y" in r["prompt"]) == (schema == "fintech")
+    assert {r["schema_name"] for r in got} == {"fintech", "hr_system"}
+
+
 def test_funnel_order(spark):
     rows = [
         (1, "", "q", True), (2, "s", " ", True), (3, "SELECT strftime('x')", "q", False),
