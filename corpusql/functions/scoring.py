@@ -12,6 +12,7 @@ import math
 import re
 import sys
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -31,8 +32,6 @@ MAX_ORDER = 4
 EPSILON = 0.1
 DIGITS = 4
 
-_find_tokens = re.compile(SQL_TOKEN).findall
-
 # The same classes spelled out for Java's regular expressions, where \w is ASCII.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -42,38 +41,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-# Templates and repeated queries make many equal texts; a few recent ones are kept.
-@lru_cache(maxsize=256)
-def _words(text: str) -> list[str]:
-    return _find_tokens(text)
-
+def _scorer() -> Callable[[str, str], float]:
+    """A score function that remembers a few recent texts.
 
-@lru_cache(maxsize=256)
-def _grams(text: str, n: int) -> Counter:
-    words = _words(text)
-    return Counter(zip(*(words[i:] for i in range(n))))
+    Templates and repeated queries make many texts equal. The memory is made here,
+    inside the task: a cache at module level could only be shipped by name.
+    """
+    words = lru_cache(maxsize=256)(re.compile(SQL_TOKEN).findall)
 
+    @lru_cache(maxsize=256)
+    def grams(text: str, n: int) -> Counter:
+        return Counter(zip(*(words(text)[i:] for i in range(n))))
 
-def _score(reference: str, hypothesis: str) -> float:
-    length = len(_words(hypothesis))
-    if not length:
-        return 0.0
-    logs = []
-    hits = length
-    for n in range(1, MAX_ORDER + 1):
-        # Without a common n-gram there is no longer one either.
-        if hits:
-            hits = (_grams(hypothesis, n) & _grams(reference, n)).total()
-        if n == 1 and not hits:
+    def score(reference: str, hypothesis: str) -> float:
+        length = len(words(hypothesis))
+        if not length:
             return 0.0
-        logs.append(math.log((hits or EPSILON) / max(1, length - n + 1)))
-    shortfall = min(0.0, 1.0 - len(_words(reference)) / length)
-    return round(math.exp(shortfall + math.fsum(logs) / MAX_ORDER), DIGITS)
+        logs = []
+        hits = length
+        for n in range(1, MAX_ORDER + 1):
+            # Without a common n-gram there is no longer one either.
+            if hits:
+                hits = (grams(hypothesis, n) & grams(reference, n)).total()
+            if n == 1 and not hits:
+                return 0.0
+            logs.append(math.log((hits or EPSILON) / max(1, length - n + 1)))
+        shortfall = min(0.0, 1.0 - len(words(reference)) / length)
+        return round(math.exp(shortfall + math.fsum(logs) / MAX_ORDER), DIGITS)
+
+    return score
 
 
 @F.pandas_udf(DoubleType())
 def _bleu_batch(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series(map(_score, reference, hypothesis), dtype="float64")
+    return pd.Series(map(_scorer(), reference, hypothesis), dtype="float64")
 
 
 def bleu(reference: Column, hypothesis: Column) -> Column:

@@ -105,24 +105,26 @@ def vector_topk(
         _blocks(registry, block_rows, "t_blocks"), "schema_name"
     )
     counts = broadcast_if_small(counts)
+    # Renamed per side, so that both may come from one table.
+    schema = F.col("schema_name").alias("_schema")
 
     def spread(df: DataFrame, key: str, own: str, other: str, own_count: str, other_count: str):
         return (
-            df.join(counts, "schema_name")
+            df.join(counts, F.col("_schema") == F.col("schema_name"))
             .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-            .drop("q_blocks", "t_blocks")
+            .drop("schema_name", "q_blocks", "t_blocks")
         )
 
     q = spread(
-        questions.select("schema_name", "question_id", F.col("embedding").alias("q_vec")),
+        questions.select(schema, "question_id", F.col("embedding").alias("q_vec")),
         "question_id", "qb", "tb", "q_blocks", "t_blocks",
     )
     t = spread(
-        registry.select("schema_name", "table_name", F.col("embedding").alias("t_vec")),
+        registry.select(schema, "table_name", F.col("embedding").alias("t_vec")),
         "table_name", "tb", "qb", "t_blocks", "q_blocks",
     )
-    cell = ["schema_name", "qb", "tb"]
+    cell = ["_schema", "qb", "tb"]
     id_type = questions.schema["question_id"].dataType.simpleString()
     local = (
         q.groupBy(*cell)

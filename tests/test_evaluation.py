@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusql.functions.scoring import _score, bleu
+from corpusql.functions.scoring import _scorer, bleu
 from corpusql.functions.text import TEMPLATE_SQL
 from corpusql.operators import evaluation
 
@@ -80,7 +80,7 @@ words = st.lists(st.sampled_from(["a", "b", "c", "(", ")"]), max_size=12)
 @settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
 @given(words, words)
 def test_bleu_rule(ref, hyp):
-    assert _score(" ".join(ref), " ".join(hyp)) == pytest.approx(slow_bleu(ref, hyp), abs=1e-4)
+    assert _scorer()(" ".join(ref), " ".join(hyp)) == pytest.approx(slow_bleu(ref, hyp), abs=1e-4)
 
 
 def test_bleu_edges(spark):
