@@ -12,7 +12,7 @@ import math
 import re
 import sys
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -73,8 +73,10 @@ def _scorer() -> Callable[[str, str], float]:
 
 
 @F.pandas_udf(DoubleType())
-def _bleu_batch(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series(map(_scorer(), reference, hypothesis), dtype="float64")
+def _bleu_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    score = _scorer()  # one memory per task
+    for reference, hypothesis in batches:
+        yield pd.Series(map(score, reference, hypothesis), dtype="float64")
 
 
 def bleu(reference: Column, hypothesis: Column) -> Column:
