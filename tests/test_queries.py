@@ -11,9 +11,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import __spark_entry__ as entry_module
 from check_oracles import compare, connect
 
+from corpusql.plans import all_oracles, all_queries
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
@@ -38,6 +40,8 @@ def test_equals_oracle(spark, duck, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
