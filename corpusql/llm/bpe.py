@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -243,9 +244,7 @@ def encoded(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     @F.pandas_udf("array<int>")
-    def encode(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(path)
         for batch in texts:
             yield pd.Series([
@@ -261,9 +260,7 @@ def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     @F.pandas_udf("string")
-    def decode(ids: Iterator) -> Iterator:
-        import pandas as pd
-
+    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(path)
         for batch in ids:
             yield pd.Series([encoder.decode([] if x is None else x.tolist()) for x in batch])

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.bpe import token_digests
 from corpusql.llm.common import table
+from corpusql.llm.substring_dedup import REPEATS_SQL, repeat_digests
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": REPEATS_SQL,
+}
