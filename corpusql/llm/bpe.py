@@ -72,6 +72,13 @@ class Vocabulary:
         for rank, merge in enumerate(model["merges"]):
             left, right = map(raw, merge.split(" ") if isinstance(merge, str) else merge)
             self.ranks[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+        #: when a token is made (its merge's rank; bytes: -1), of which two, and by pair
+        self.born = [-1] * size
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.merge_rank = {a << 32 | b: rank for (a, b), (rank, _) in self.ranks.items()}
+        for pair, (rank, made) in self.ranks.items():
+            if made not in self.parts:
+                self.parts[made], self.born[made] = pair, rank
         #: lengths of the tokens that end in these (up to three) bytes, longest first
         self.lengths: dict[bytes, list[int]] = {}
         for token in sorted(self.ids, key=len, reverse=True):
@@ -119,16 +126,33 @@ class Encoder:
         gc.freeze()  # long-lived and free of cycles: not worth a look at every collection
         gc.disable()
 
-    def _fits(self, before: int, last: int) -> bool:
-        key = before << 32 | last
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            v = self.vocabulary
-            known = v.merged(v.bytes[before] + v.bytes[last]) == [before, last]
-            self.pairs[key] = known
-        return known
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens gives these two tokens again.
+
+        Merges run in order of rank. Seen backwards, the younger token beside the border is
+        undone again and again, and what touches the border must never have been a pair that
+        merges earlier than what is undone. Equal ranks go to the left one first.
+        """
+        key = left << 32 | right
+        v = self.vocabulary
+        limit, good = len(v.born), True
+        while True:
+            merge = v.merge_rank.get(left << 32 | right)
+            if merge is not None and merge < limit:
+                good = False
+                break
+            if v.born[left] < 0 and v.born[right] < 0:
+                break
+            if v.born[left] > v.born[right]:
+                limit = v.born[left]
+                left = v.parts[left][1]
+            else:
+                limit = v.born[right] + 1
+                right = v.parts[right][0]
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = good
+        return good
 
     def walk(self, words: list[bytes]) -> Iterator[list[int]]:
         """Token ids of each word; ``words`` are distinct and sorted, which is trie order."""
@@ -172,12 +196,14 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces of text (each cut by the pattern first) into the cache."""
         cut = {piece: self.pattern.findall(piece) for piece in pieces}
-        new = sorted({w.encode() for ws in cut.values() for w in ws})
-        known = dict(zip(new, self.walk(new)))
-        shown = self.vocabulary.shown
+        words, shown = self.words, self.vocabulary.shown
+        new = {w.encode(): w for ws in cut.values() for w in ws if w not in words}
+        order = sorted(new)
+        for word, ids in zip(order, self.walk(order)):
+            words[new[word]] = pack(f"<{len(ids)}I", *ids), ",".join([shown[i] for i in ids])
         for piece, ws in cut.items():
-            ids = [i for w in ws for i in known[w.encode()]]
-            self.words[piece] = pack(f"<{len(ids)}I", *ids), ",".join([shown[i] for i in ids])
+            if len(ws) > 1:
+                words[piece] = b"".join([words[w][0] for w in ws]), ",".join([words[w][1] for w in ws])
 
     def _pieces(self, text: str) -> list[str]:
         """Parts that the pattern cuts independently of each other.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.bpe import token_digests
 from corpusql.llm.common import table
+from corpusql.llm.packing import packed
 from corpusql.llm.simhash import link_digests
 from corpusql.llm.substring_dedup import REPEATS_SQL, repeat_digests
 
@@ -24,9 +25,14 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return link_digests(table(spark, folder, "documents"))
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_packing": op6_packing,
     "op10_simhash": op10_simhash,
 }
 
