@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.llm.bpe import Vocabulary, default_vocabulary
+from corpusql.llm.bpe import PATTERN, Vocabulary, default_vocabulary
 from corpusql.llm.common import written
 
 SIZE = 1024
@@ -175,8 +175,6 @@ def _tokenizer(path: str):
         return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
     import tiktoken
 
-    from corpusql.llm.bpe import PATTERN
-
     encoding = tiktoken.Encoding(
         "vocabulary", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens=vocabulary.special
     )
