@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 CACHE_WORDS = 300_000
 CACHE_PAIRS = 1_000_000
+#: Texts are cut and their new words walked together up to so many characters.
+TRIE_CHARS = 2_000_000
 
 #: The public pattern that cuts text into words, and the printable stand-ins
 #: for bytes in the vocabulary file (printable Latin-1 bytes stand for themselves, the
@@ -239,7 +241,17 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
-        """Encoded pieces of each text, in order; the texts' new words share one trie."""
+        """Encoded pieces of each text, in order; new words share tries of ``TRIE_CHARS``."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= TRIE_CHARS:
+                yield from self._encode(part)
+                part, size = [], 0
+        yield from self._encode(part)
+
+    def _encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
         cut = [self.pieces(text) for text in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
