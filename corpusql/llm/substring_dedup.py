@@ -9,9 +9,9 @@ windows around an anchor known from two documents are hashed as a whole (96 bits
 window is removed if its hash has a smaller document.
 
 Shuffles: anchors once (one row for each document and anchor, about a fifth of the words),
-texts once, candidate windows once. A hot anchor or window is folded to its smallest and
-largest document as rows stream by and is never gathered; documents take part by hash sets of
-their own size.
+texts once, candidate windows once. Rows of a hot anchor or window stream by in order of
+documents, and a task holds the first of them only; documents take part by hash sets of their
+own size.
 """
 
 from __future__ import annotations
@@ -92,13 +92,13 @@ class Windows:
         return at, self.runs(rolled, 0, at, self.anchor).view("i8")
 
     def candidates(self, rolled: list[np.ndarray], known: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold an anchor in ``known``."""
+        """Starts of the windows that hold an anchor in ``known`` (low halves of hashes)."""
         n = len(rolled[0]) - 1
         if n < self.window:
             return np.zeros(0, int)
         at, hashes = self.anchors(rolled)
         marks = np.zeros(n + 2, int)
-        marks[at[np.isin(hashes, known)] + 1] = 1
+        marks[at[np.isin(hashes.astype("i4"), known)] + 1] = 1
         marks = np.cumsum(marks)  # marks[i]: known anchors before position i
         start = np.arange(n - self.window + 1)
         return start[marks[start + self.period] > marks[start]]
@@ -122,6 +122,49 @@ def _anchor_rows(window: int, period: int) -> Callable:
     return job
 
 
+def _shared_rows(keys: int, first_too: bool) -> Callable:
+    """Rows of runs of equal keys, sorted by document: those beyond the run's first document.
+
+    The first ``keys`` columns are the key and the last is the document. With ``first_too``
+    the row of the first document comes out as well, once another document follows.
+    """
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # key of the open run
+        first, told = 0, True  # its first document, and whether that one is out
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            doc = columns[-1]
+            starts = np.ones(n, bool)
+            starts[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
+            goes_on = last == tuple(c[0] for c in columns[:keys])
+            starts[0] = not goes_on
+            run = np.cumsum(starts)  # 0: the open run
+            heads = np.concatenate([[first], doc[starts]])
+            beyond = doc > heads[run]
+            out = beyond.copy()
+            fresh = []
+            if first_too:
+                at = np.flatnonzero(starts)
+                met = np.zeros(len(heads), bool)
+                met[run[beyond]] = True
+                out[at[met[1:]]] = True
+                if met[0] and not told:
+                    fresh = [(last, first)]
+                ends = run[-1]
+                told = bool(met[ends]) or (ends == 0 and told)
+            last, first = tuple(c[-1] for c in columns[:keys]), heads[run[-1]]
+            made = [c[out] for c in columns]
+            for key, head in fresh:
+                made = [np.append(c, v).astype(c.dtype) for c, v in zip(made, (*key, head))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], batch.schema.names)
+
+    return job
+
+
 def _window_rows(window: int, period: int) -> Callable:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit = Windows(window, period)
@@ -184,32 +227,25 @@ def without_repeats(docs: DataFrame, window: int = 50, period: int = 31) -> Data
     from each other, and each gives a row. All columns stay; the three names are replaced.
     """
     needed = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    anchors = (
+    known = (
         needed.where("doc IS NOT NULL AND text IS NOT NULL")
         .mapInArrow(_anchor_rows(window, period), "anchor long, doc long")
-        .repartition("anchor")
-    )
-    shared = (
-        anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        .where("lo < hi").select("anchor")
-    )
-    known = (
-        anchors.join(shared.hint("shuffle_hash"), "anchor", "left_semi")
-        .groupBy("doc").agg(F.collect_list("anchor").alias("_known"))
+        .repartition("anchor").sortWithinPartitions("anchor", "doc")
+        .mapInArrow(_shared_rows(1, first_too=True), "anchor long, doc long")
+        # Half a hash is enough to say which anchors of one document are meant; a mix-up
+        # makes windows candidates that are then compared as a whole.
+        .groupBy("doc").agg(F.collect_list(F.shiftright(F.shiftleft("anchor", 32), 32).cast("int")).alias("_known"))
     )
     names = docs.columns
     # Rows without an id keep to themselves under keys of their own.
     by_doc = docs.withColumn("_doc", F.col("doc_id").cast("long")).repartition("_doc")
-    windows = (
+    gone = (
         by_doc.where("_doc IS NOT NULL").select("_doc", "text")
         .join(known.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc")
         .mapInArrow(_window_rows(window, period), "high long, low int, doc long")
-        .repartition("high", "low")
-    )
-    smallest = windows.groupBy("high", "low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    gone = (
-        windows.join(smallest.where("lo < hi").drop("hi").hint("shuffle_hash"), ["high", "low"])
-        .where("doc > lo").groupBy("doc").agg(F.collect_list("high").alias("_gone"))
+        .repartition("high", "low").sortWithinPartitions("high", "low", "doc")
+        .mapInArrow(_shared_rows(2, first_too=False), "high long, low int, doc long")
+        .groupBy("doc").agg(F.collect_list("high").alias("_gone"))
     )
     fields = [f for f in docs.schema.fields if f.name not in ("kept", "n_words", "n_removed")]
     schema = T.StructType(fields).add("kept", "string").add("n_words", "long").add("n_removed", "long")

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusql.llm.substring_dedup import difference_cover, without_repeats
+from corpusql.llm.substring_dedup import _shared_rows, difference_cover, without_repeats
 
 
 def brute(rows, window):
@@ -53,5 +54,20 @@ def test_equals_brute_force(spark, documents, window, period):
     assert got == brute(rows, window)
 
 
+def test_runs_across_batches():
+    rows = [(1, 5), (2, 1), (2, 1), (2, 3), (3, 4), (3, 4), (4, 1), (4, 2), (4, 2), (4, 9), (5, 0), (5, 1)]
+    for size in range(1, len(rows) + 1):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + size])], ["k", "doc"])
+            for at in range(0, len(rows), size)
+        ]
+        read = lambda job: sorted(
+            tuple(r.values()) for b in job(iter(batches)) for r in b.to_pylist()
+        )
+        assert read(_shared_rows(1, False)) == [(2, 3), (4, 2), (4, 2), (4, 9), (5, 1)]
+        got = set(read(_shared_rows(1, True)))
+        assert got == {(2, 1), (2, 3), (4, 1), (4, 2), (4, 9), (5, 0), (5, 1)}
+
+
 def test_empty_table(documents):
     assert without_repeats(documents([(1, "a")]).limit(0)).count() == 0
