@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.bpe import token_digests
 from corpusql.llm.common import table
+from corpusql.llm.language_id import language_of
 from corpusql.llm.packing import packed
+from corpusql.llm.quality import QUALITY_SQL, quality_digests
 from corpusql.llm.simhash import link_digests
 from corpusql.llm.substring_dedup import REPEATS_SQL, repeat_digests
 
@@ -29,13 +31,24 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_of(table(spark, folder, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_language_id": op4_language_id,
     "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": REPEATS_SQL,
+    "op8_quality_rules": QUALITY_SQL,
 }
