@@ -21,22 +21,24 @@ SYMBOLS = "[#*$%&|<>]"
 RUN = 5
 
 
-def words_of(text: Column) -> Column:
-    bare = F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{_BLANK}+"))
+def bare(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
+def words_of(trimmed: Column) -> Column:
+    """Words of a text without white space at its ends."""
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, f"{_BLANK}+")
+    )
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"{_BLANK}+", "")).cast("long")
+def n_symbols(text: Column) -> Column:
+    return (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
 
 
-def n_dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+def lines_of(text: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda line: bare(line) != "")
 
 
 def run_hashes(words: Column) -> Column:
@@ -57,7 +59,7 @@ def covered(hashes: Column, ordered: Column) -> Column:
         lambda x, k: F.coalesce(F.get(ordered, k - 1)["h"] == x["h"], F.lit(False))
         | F.coalesce(F.get(ordered, k + 1)["h"] == x["h"], F.lit(False)),
     )
-    return F.array_sort(F.transform(again, lambda x: x["i"]))
+    return F.sort_array(F.transform(again, lambda x: x["i"]))
 
 
 def spread(places: Column) -> Column:
@@ -77,16 +79,18 @@ def with_measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.array().cast("array<struct<h:bigint,i:int>>")
     return (
-        docs.withColumn("_words", words_of(text))
+        docs.withColumn("_bare", bare(text))
+        .withColumn("_words", words_of(F.col("_bare"))).drop("_bare")
+        .withColumn("_lines", lines_of(text))
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", word_chars(text))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", n_symbols(text))
-        .withColumn("n_dup_lines", n_dup_lines(text))
-        .withColumn("_hashes", run_hashes(F.col("_words"))).drop("_words")
+        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+        .withColumn("_hashes", run_hashes(F.col("_words"))).drop("_words", "_lines")
         .withColumn(
             "_ordered",
             F.when(F.size("_hashes") == F.size(F.array_distinct("_hashes")), plain).otherwise(
-                F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+                F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
             ),
         )
         .withColumn("_places", covered(F.col("_hashes"), F.col("_ordered")))
