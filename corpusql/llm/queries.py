@@ -13,6 +13,7 @@ from corpusql.llm.packing import packed
 from corpusql.llm.quality import QUALITY_SQL, quality_digests
 from corpusql.llm.simhash import link_digests
 from corpusql.llm.substring_dedup import REPEATS_SQL, repeat_digests
+from corpusql.llm.toxicity import toxicity_digests
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,12 +40,17 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_digests(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_language_id": op4_language_id,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
