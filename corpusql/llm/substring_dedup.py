@@ -170,7 +170,10 @@ def _window_rows(window: int, period: int) -> Callable:
         kit = Windows(window, period)
         for batch in batches:
             parts = [(np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0, "i8"))]
-            for doc, text, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, text, known in zip(*(batch.column(n) for n in ("doc_id", "text", "_known"))):
+                if not known.is_valid or not doc.is_valid:
+                    continue
+                doc = int(doc.as_py())
                 rolled = kit.rolled(kit.words(text.as_py()))
                 at = kit.candidates(rolled, known.values.to_numpy(zero_copy_only=False))
                 first = kit.runs(rolled, 0, at, window).view("i8")
@@ -189,12 +192,11 @@ def _kept_rows(window: int, period: int, names: list[str]) -> Callable:
         kit = Windows(window, period)
         for batch in batches:
             kept, total, removed = [], [], []
-            gone_column = batch.column(batch.schema.get_field_index("_gone"))
-            for text, gone in zip(batch.column(batch.schema.get_field_index("text")), gone_column):
+            for doc, text, gone in zip(*(batch.column(n) for n in ("doc_id", "text", "_gone"))):
                 words = kit.words(text.as_py())
                 n = len(words)
                 left = n
-                if gone.is_valid and n >= window:
+                if gone.is_valid and doc.is_valid and n >= window:
                     starts = np.arange(n - window + 1)
                     hit = np.isin(
                         kit.runs(kit.rolled(words), 0, starts, window).view("i8"),
@@ -211,7 +213,7 @@ def _kept_rows(window: int, period: int, names: list[str]) -> Callable:
                 removed.append(n - left)
             made = {"kept": pa.array(kept, pa.string()), "n_words": pa.array(total, pa.int64()),
                     "n_removed": pa.array(removed, pa.int64())}
-            own = {n: batch.column(batch.schema.get_field_index(n)) for n in names if n not in made}
+            own = {n: batch.column(n) for n in names if n not in made}
             yield pa.RecordBatch.from_pydict(own | made)
 
     return job
@@ -237,11 +239,13 @@ def without_repeats(docs: DataFrame, window: int = 50, period: int = 31) -> Data
         .groupBy("doc").agg(F.collect_list(F.shiftright(F.shiftleft("anchor", 32), 32).cast("int")).alias("_known"))
     )
     names = docs.columns
-    # Rows without an id keep to themselves under keys of their own.
-    by_doc = docs.withColumn("_doc", F.col("doc_id").cast("long")).repartition("_doc")
+    # One exchange of the texts serves both joins, so both read the same columns of it.
+    # Rows without an id are spread by their text and recognised in the tasks.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    by_doc = docs.withColumn("_doc", key).repartition("_doc")
     gone = (
-        by_doc.where("_doc IS NOT NULL").select("_doc", "text")
-        .join(known.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc")
+        by_doc.join(known.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left")
+        .select(*names, "_doc", "_known")
         .mapInArrow(_window_rows(window, period), "high long, low int, doc long")
         .repartition("high", "low").sortWithinPartitions("high", "low", "doc")
         .mapInArrow(_shared_rows(2, first_too=False), "high long, low int, doc long")
@@ -251,7 +255,7 @@ def without_repeats(docs: DataFrame, window: int = 50, period: int = 31) -> Data
     schema = T.StructType(fields).add("kept", "string").add("n_words", "long").add("n_removed", "long")
     return (
         by_doc.join(gone.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left")
-        .select(*names, "_gone")
+        .select(*names, "_doc", "_gone")
         .mapInArrow(_kept_rows(window, period, names), schema)
     )
 
