@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import fold
@@ -219,14 +219,19 @@ def identified(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Dat
     ).drop("_found")
 
 
-def language_of(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score; learned from rows not held out.
+def held_out() -> Column:
+    """Held out is crc32 of the id, as text, modulo 4 equal to 2; rows without an id are not."""
+    return F.coalesce(fold(F.col("doc_id")) % 4 == 2, F.lit(False))
 
-    Held out is crc32 of the id, as text, modulo 4 equal to 2; rows without an id are not held
-    out and teach nothing.
-    """
-    held = F.coalesce(fold(F.col("doc_id")) % 4 == 2, F.lit(False))
-    langs, prototypes = profiles(docs.where(F.col("doc_id").isNotNull() & ~held).select("text", "lang"))
+
+def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Profiles of all rows with an id and a language that are not held out."""
+    return profiles(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang"))
+
+
+def language_of(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score; learned from rows not held out."""
+    langs, prototypes = learn(docs)
     return identified(docs.select("doc_id", "text"), langs, prototypes).select(
-        F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "lang_pred", "score"
+        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusql.llm.bpe import token_digests
 from corpusql.llm.common import table
 from corpusql.llm.language_id import language_of
+from corpusql.llm.line_dedup import line_digests
 from corpusql.llm.packing import packed
 from corpusql.llm.quality import QUALITY_SQL, quality_digests
 from corpusql.llm.simhash import link_digests
@@ -44,10 +45,15 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_digests(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,

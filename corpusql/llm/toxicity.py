@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
 Learning: on a bounded sample of labelled texts, each word counts as itself and as its longer
-prefixes (stems). A feature's weight is the difference of its log-odds in toxic and other
+prefixes (stems), once for each text that has it. A feature's weight is the difference of its log-odds in toxic and other
 texts under a Dirichlet prior in proportion to its overall use, and only features whose
 difference stands out of its standard error are kept (the model is at most ``FEATURES``
 large). A word has the weight of its most telling feature; words without one pull down by
@@ -32,7 +32,8 @@ from corpusql.llm.common import fold, written
 #: Bounds of the model: labelled rows it is fitted on, and features it keeps.
 SAMPLE_ROWS = 20_000
 FEATURES = 20_000
-PRIOR = 1_000.0
+#: Weight of the prior, as a share of what the smaller class counts.
+PRIOR = 0.5
 SIGNIFICANCE = 4.0
 DRIFT = -0.15
 STEMS = (5, 6, 7, 8)
@@ -173,9 +174,8 @@ def fitted(labelled: DataFrame) -> Model:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                for word, n in Counter((text.as_py() or "").split()).items():
-                    for f in features(word):
-                        counts[toxic][f] += n
+                words = set((text.as_py() or "").split())
+                counts[toxic].update({f for word in words for f in features(word)})
         names = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([counts[0][f] for f in names], pa.int64()),
@@ -192,8 +192,11 @@ def fitted(labelled: DataFrame) -> Model:
         F.sum("clean").alias("c"), F.sum("toxic").alias("t")
     ).first()
     all_clean, all_toxic = float(sums["c"] or 0), float(sums["t"] or 0)
-    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / (all_clean + all_toxic)
-    odds = lambda n, total: F.log((n + F.col("prior")) / (total + PRIOR - n - F.col("prior")))
+    if not all_clean or not all_toxic:
+        return Model()
+    mass = PRIOR * min(all_clean, all_toxic)
+    prior = F.lit(mass) * (F.col("clean") + F.col("toxic")) / (all_clean + all_toxic)
+    odds = lambda n, total: F.log((n + F.col("prior")) / (total + mass - n - F.col("prior")))
     kept = (
         folded.withColumn("prior", prior)
         .withColumn("weight", odds(F.col("toxic"), all_toxic) - odds(F.col("clean"), all_clean))
