@@ -184,8 +184,8 @@ def quality_digests(docs: DataFrame) -> DataFrame:
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (
-  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d
 ), run AS (
   SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS s

@@ -271,7 +271,7 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 #: DuckDB: all windows, without anchors.
 REPEATS_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), win AS (
   SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS s
