@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.llm.bpe import token_digests
 from corpusql.llm.common import table
+from corpusql.llm.html_extract import page_digests
 from corpusql.llm.language_id import language_of
 from corpusql.llm.line_dedup import line_digests
 from corpusql.llm.packing import packed
@@ -49,12 +50,17 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_digests(table(spark, folder, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_digests(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
