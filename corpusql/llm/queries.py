@@ -16,6 +16,7 @@ from corpusql.llm.quality import QUALITY_SQL, quality_digests
 from corpusql.llm.simhash import link_digests
 from corpusql.llm.substring_dedup import REPEATS_SQL, repeat_digests
 from corpusql.llm.toxicity import toxicity_digests
+from corpusql.llm.vptree import nearest
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,9 +55,14 @@ def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return page_digests(table(spark, folder, "pages"))
 
 
+def op3_vp_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_vp_tree": op3_vp_tree,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
