@@ -33,4 +33,4 @@ def embed_input(df: DataFrame, text: str, out: str = "embedding", width: int = W
     words = df.withColumn("_words", tokens(F.lower(F.coalesce(F.col(text), F.lit("")))))
     counted = HashingTF(numFeatures=width, inputCol="_words", outputCol="_tf").transform(words)
     unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
-    return unit.withColumn(out, vector_to_array("_unit")).drop("_words", "_tf", "_unit")
+    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.functions import text
@@ -98,8 +98,7 @@ def distribution(pairs: DataFrame, column: str, percent: bool = False) -> DataFr
     """Count per value, ordered by value; with ``percent`` also the share of all rows."""
     counts = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     if percent:
-        # The window runs over the counts, one row per value, never over the pairs.
-        share = F.col("n") * 100 / F.sum("n").over(Window.partitionBy(F.lit(0)))
+        share = F.col("n") * 100 / pairs.select(F.count(F.lit(1))).scalar()
         counts = counts.withColumn("percent", F.round(share, 1))
     return counts.orderBy(F.col(column).asc_nulls_last())
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, MapType
+from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, NumericType
 
 from corpusql.functions.scoring import bleu
 from corpusql.functions.text import is_valid_syntax
@@ -15,7 +15,6 @@ from corpusql.operators.ranking import with_positions
 from corpusql.operators.sizing import broadcast_if_small
 
 INVALID_SYNTAX = "Invalid SQL syntax"
-CANDIDATE_LIMIT = 1000
 BLOCKS_PER_STRETCH = 1_000_000
 
 
@@ -129,6 +128,11 @@ def _canonical(df: DataFrame, by_position: bool, digits: int | None) -> DataFram
     return df.select(*columns)
 
 
+def _kind(kind: DataType) -> str:
+    """What a value can be compared with: numbers with numbers, else its own type."""
+    return "number" if isinstance(kind, NumericType) else kind.simpleString()
+
+
 def result_match(
     left: DataFrame,
     right: DataFrame,
@@ -157,7 +161,8 @@ def result_match(
         left, right = left.select(*compare), right.select(*compare)
     left = _canonical(left, by_position, digits)
     right = _canonical(right, by_position, digits)
-    if sorted(left.columns) != sorted(right.columns):
+    kinds = [{f.name: _kind(f.dataType) for f in side.schema.fields} for side in (left, right)]
+    if sorted(left.columns) != sorted(right.columns) or kinds[0] != kinds[1]:
         return left.sparkSession.range(1).select(
             F.lit(False).alias("matches"), F.lit(None).cast("bigint").alias("differing_rows")
         )
@@ -182,42 +187,85 @@ def _run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def _attempt(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
+COMMAND = "Only queries are run"
+
+
+def _is_query(spark: SparkSession, sql: str) -> bool:
+    """Whether the statement only reads: no command and no write anywhere in its parsed plan."""
+    jvm = spark._jvm
+    load = jvm.java.lang.Class.forName
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    loader = spark._jsparkSession.getClass().getClassLoader()
+    writes = [load(logical + name, True, loader) for name in ("Command", "ParsedStatement")]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        plan = todo.pop()
+        if any(kind.isInstance(plan) for kind in writes):
+            return False
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def _planned(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
+    """The query, analysed and not yet run, or why there is none."""
     try:
-        result = spark.sql(sql.rstrip(";"))
-        _run(result)
-        return result, None
+        if not _is_query(spark, sql.rstrip(";")):
+            return None, COMMAND
+        return spark.sql(sql.rstrip(";")), None
     except PySparkException as failure:
         return None, str(failure).split("\n", 1)[0]
 
 
+def _failure(df: DataFrame) -> str | None:
+    try:
+        _run(df)
+        return None
+    except PySparkException as failure:
+        return str(failure).split("\n", 1)[0]
+
+
+def _outcome(
+    spark: SparkSession, reference_sql: str, generated_sql: str, digits: int | None
+) -> tuple[bool, bool, bool, str | None]:
+    if not (generated_sql or "").rstrip(";").strip():
+        return False, False, False, INVALID_SYNTAX
+    generated, error = _planned(spark, generated_sql)
+    if generated is None:
+        return False, False, False, error
+    reference, _ = _planned(spark, reference_sql)
+    if reference is not None:
+        try:
+            verdict = result_match(reference, generated, digits=digits).first()
+            if verdict["differing_rows"] is not None:  # both sides ran, once
+                return True, bool(verdict["matches"]), False, None
+        except (PySparkException, ValueError):
+            pass  # which side it was is found below
+    error = _failure(generated)
+    if error:
+        return False, False, False, error
+    reference_failed = reference is None or _failure(reference) is not None
+    return True, reference_failed, reference_failed, None
+
+
 def execution_outcomes(
     spark: SparkSession, candidates: Iterable[tuple[str, str, str]], digits: int | None = 9
 ) -> DataFrame:
-    """Run a bounded list of (id, reference SQL, generated SQL) and compare the results.
+    """Run (id, reference SQL, generated SQL) one after another and compare the results.
 
-    Queries run one after another as Spark jobs; only the verdicts come back. As
-    long as the generated query ran, a failing reference counts as a match, and
-    ``reference_failed`` tells so.
+    Each pair of texts is one Spark job and runs once, however many candidates share it; the
+    comparison itself runs both sides. Only queries are run: commands and writes are refused.
+    As long as the generated query ran, a failing reference counts as a match, and
+    ``reference_failed`` tells so. Results that cannot be compared, because columns differ in
+    name or kind or a name occurs twice, do not match.
     """
-    candidates = list(candidates)
-    if len(candidates) > CANDIDATE_LIMIT:
-        raise ValueError(f"{len(candidates)} candidates; execute at most {CANDIDATE_LIMIT} a run")
+    known: dict[tuple[str, str], tuple] = {}
     verdicts = []
     for key, reference_sql, generated_sql in candidates:
-        if not (generated_sql or "").rstrip(";").strip():
-            verdicts.append((key, False, False, False, INVALID_SYNTAX))
-            continue
-        generated, error = _attempt(spark, generated_sql)
-        if generated is None:
-            verdicts.append((key, False, False, False, error))
-            continue
-        reference, _ = _attempt(spark, reference_sql)
-        if reference is None:
-            verdicts.append((key, True, True, True, None))
-            continue
-        agrees = result_match(reference, generated, digits=digits).first()["matches"]
-        verdicts.append((key, True, bool(agrees), False, None))
+        texts = reference_sql or "", generated_sql or ""
+        if texts not in known:
+            known[texts] = _outcome(spark, *texts, digits)
+        verdicts.append((key, *known[texts]))
     return spark.createDataFrame(
         verdicts,
         "candidate string, exec_success boolean, exec_match boolean, "

@@ -136,10 +136,12 @@ def generation_prompts(
 
 def resume_append(existing: DataFrame, new: DataFrame, total_pairs: int,
                   schemas: tuple[str, ...] = SCHEMAS) -> DataFrame:
-    """New pairs of unfinished schemas only; append them to the corpus.
+    """New pairs but those of finished schemas; append them to the corpus.
+
+    Schemas beyond ``schemas`` have no target, so their pairs are never finished and stay.
 
     The corpus already written is not rewritten and not part of the result.
     """
-    open_schemas = schema_status(existing, total_pairs, schemas).where(F.col("status") != "done")
-    # One row per schema of the constant list above.
-    return new.join(F.broadcast(open_schemas.select("schema_name")), "schema_name", "left_semi")
+    done = schema_status(existing, total_pairs, schemas).where(F.col("status") == "done")
+    # At most one row per schema of the argument.
+    return new.join(F.broadcast(done.select("schema_name")), "schema_name", "left_anti")

@@ -69,7 +69,7 @@ def row_numbers(
     local = Window.partitionBy(*keys, "_range").orderBy(*order)
     numbered = split.withColumn(out, F.row_number().over(local))
     if not any_hot:
-        return numbered.drop("_range")
+        return numbered.withColumn(out, F.col(out).cast("bigint")).drop("_range")
     shift = (
         split.where(F.col("_range").isNotNull())
         .groupBy(*keys, "_range")
@@ -99,7 +99,8 @@ def ranks(
         {"rank": F.rank().over(local), "dense_rank": F.dense_rank().over(local)}
     )
     if not any_hot:
-        return ranked.drop("_range")
+        big = {c: F.col(c).cast("bigint") for c in ("rank", "dense_rank")}
+        return ranked.withColumns(big).drop("_range")
     # Distinct values are counted before they are added up, so a value that
     # repeats a billion times is one row here.
     values = (

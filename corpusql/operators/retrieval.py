@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from corpusql.functions.vectors import cosine_distance
 from corpusql.operators.sizing import broadcast_if_small
@@ -50,7 +51,7 @@ def _nearest_in_block(k: int):
     def nearest(questions: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         if questions.empty or tables.empty:
             return pd.DataFrame()
-        tables = tables.sort_values("table_name", kind="stable")
+        tables = tables.sort_values(["table_name", "row_key"], kind="stable")
         q_ok = questions["q_vec"].notna().to_numpy()
         t_ok = tables["t_vec"].notna().to_numpy()
         dist = np.full((len(questions), len(tables)), np.nan)
@@ -60,7 +61,7 @@ def _nearest_in_block(k: int):
         known = q_ok[:, None] & t_ok[None, :]
         kind = np.where(~known, MISSING, np.where(np.isnan(dist), UNDEFINED, NUMBER))
         # Candidates are all tables no farther than the k-th number, ties included;
-        # only they are ordered: kind, distance, then name.
+        # only they are ordered: kind, distance, then name and row.
         key = np.where(kind == NUMBER, dist, np.inf)
         bound = np.partition(key, k - 1, axis=1)[:, [k - 1]] if k < key.shape[1] else np.inf
         row, col = np.nonzero(key <= bound)
@@ -72,6 +73,7 @@ def _nearest_in_block(k: int):
             {
                 "question_id": questions["question_id"].to_numpy()[row],
                 "table_name": tables["table_name"].to_numpy()[col],
+                "row_key": tables["row_key"].to_numpy()[col],
                 "distance": dist[row, col],
                 "kind": kind[row, col],
             }
@@ -87,18 +89,38 @@ def _blocks(df: DataFrame, block_rows: int, name: str) -> DataFrame:
     )
 
 
+def with_row_key(registry: DataFrame) -> DataFrame:
+    """``registry`` with ``row_key``, a hash of the whole row: nothing else names a row for sure."""
+    columns = [
+        F.to_json(c) if isinstance(registry.schema[c].dataType, MapType) else F.col(c)
+        for c in registry.columns
+    ]
+    return registry.withColumn("row_key", F.xxhash64(*columns))
+
+
 def vector_topk(
     questions: DataFrame,
     registry: DataFrame,
     k: int | None = None,
     block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """question_id, rank, table_name and distance; see ``ranked_rows``."""
+    return ranked_rows(questions, with_row_key(registry), k, block_rows).drop("row_key")
+
+
+def ranked_rows(
+    questions: DataFrame,
+    registry: DataFrame,
+    k: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest tables of its own schema for every question.
 
     The scan is exact. Questions and tables of a schema are hashed into blocks of
     bounded size and every pair of blocks is one task's matrix product, so a
     schema with a third of all rows spreads over many tasks. A task hands on
-    ``k`` rows per question, never all pairs.
+    ``k`` rows per question, never all pairs. Rows are told apart by ``row_key``, as a
+    table name may repeat.
     """
     k = k or TOP_K
     counts = _blocks(questions, block_rows, "q_blocks").join(
@@ -121,8 +143,8 @@ def vector_topk(
         "question_id", "qb", "tb", "q_blocks", "t_blocks",
     )
     t = spread(
-        registry.select(schema, "table_name", F.col("embedding").alias("t_vec")),
-        "table_name", "tb", "qb", "t_blocks", "q_blocks",
+        registry.select(schema, "table_name", "row_key", F.col("embedding").alias("t_vec")),
+        "row_key", "tb", "qb", "t_blocks", "q_blocks",
     )
     cell = ["_schema", "qb", "tb"]
     id_type = questions.schema["question_id"].dataType.simpleString()
@@ -131,10 +153,10 @@ def vector_topk(
         .cogroup(t.groupBy(*cell))
         .applyInPandas(
             _nearest_in_block(k),
-            f"question_id {id_type}, table_name string, distance double, kind int",
+            f"question_id {id_type}, table_name string, row_key bigint, distance double, kind int",
         )
     )
-    best = Window.partitionBy("question_id").orderBy("kind", "distance", "table_name")
+    best = Window.partitionBy("question_id").orderBy("kind", "distance", "table_name", "row_key")
     return (
         local.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -142,6 +164,7 @@ def vector_topk(
             "question_id",
             "rank",
             "table_name",
+            "row_key",
             # Arrow hands NaN over as null, so it is set again here.
             F.when(F.col("kind") == NUMBER, F.col("distance"))
             .when(F.col("kind") == UNDEFINED, F.lit(float("nan")))
@@ -160,8 +183,10 @@ def retrieval_batch(
     questions: DataFrame, registry: DataFrame, k: int | None = None
 ) -> DataFrame:
     """Ranked registry rows per question, ready for prompt building."""
-    ranked = vector_topk(questions, registry, k)
-    tables = registry.drop("embedding")
-    # Table names repeat across schemas, so the question's schema joins too.
+    keyed = with_row_key(registry)
+    ranked = ranked_rows(questions, keyed, k)
+    # Rows equal in every column have one key and, ranked each, the same content.
+    tables = keyed.drop("embedding").dropDuplicates(["row_key"])
     asked = questions.select("question_id", "schema_name", "question")
-    return ranked.join(asked, "question_id").join(tables, ["schema_name", "table_name"])
+    joined = ranked.join(asked, "question_id").join(tables, ["schema_name", "table_name", "row_key"])
+    return joined.drop("row_key")

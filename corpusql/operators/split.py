@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.operators.ranking import mark_within, quota_cutoffs
@@ -24,7 +24,7 @@ def stratum_sizes(pairs: DataFrame, strata: list[str], test_size: int) -> DataFr
     one row at least.
     """
     sizes = pairs.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    total = F.sum("size").over(Window.partitionBy(F.lit(0)))
+    total = pairs.select(F.count(F.lit(1))).scalar()
     share = F.col("size") / total * F.lit(test_size)
     return sizes.withColumn("n_test", F.greatest(F.lit(1), F.rint(share)).cast("bigint"))
 

@@ -145,7 +145,7 @@ def _(t: Inputs) -> DataFrame:
     path = fresh_path(t.spark, "evaluations")
     write_evaluation(t("v_eval"), path, "nightly")
     return (
-        t.spark.read.json(path)
+        t.spark.read.schema("schema_name string, bleu double, error string, run_name string").json(path)
         .groupBy("run_name", "schema_name")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -314,9 +314,16 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _user_kinds(t: Inputs) -> DataFrame:
-    """Each user's kinds of event, signup as null: repeats are gone before collecting."""
+    """Each user's kinds of event (signup as null) and how often: repeats travel as counts."""
     kind = F.nullif("event_type", F.lit("signup"))
-    return t("events").select("user_id", kind.alias("kind")).distinct()
+    return t("events").select("user_id", kind.alias("kind")).groupBy("user_id", "kind").agg(
+        F.count(F.lit(1)).cast("int").alias("n")
+    )
+
+
+def _repeated(runs):
+    """All values of (kind, n) runs, in order."""
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r["kind"], r["n"])))
 
 
 @named(
@@ -324,16 +331,15 @@ def _user_kinds(t: Inputs) -> DataFrame:
     """SELECT user_id, array_to_string(list_transform(
         array_agg(kind ORDER BY kind NULLS LAST), lambda k: coalesce(k, '<null>')), ',') AS kinds,
       len(array_agg(kind)) AS n
-    FROM (SELECT DISTINCT user_id, nullif(event_type, 'signup') AS kind FROM events) GROUP BY 1""",
+    FROM (SELECT user_id, nullif(event_type, 'signup') AS kind FROM events) GROUP BY 1""",
 )
 def _(t: Inputs) -> DataFrame:
     # Boxed, because collecting drops bare nulls; array_sort puts null last.
     boxed = F.array_sort(
-        F.collect_list(F.struct(F.col("kind").isNull().alias("last"), F.col("kind")))
+        F.collect_list(F.struct(F.col("kind").isNull().alias("last"), F.col("kind"), F.col("n")))
     )
-    kinds = F.transform(boxed, lambda b: b["kind"])
-    grouped = _user_kinds(t).groupBy("user_id").agg(kinds.alias("kinds"))
-    return grouped.select(
+    grouped = _user_kinds(t).groupBy("user_id").agg(boxed.alias("runs"))
+    return grouped.select("user_id", _repeated(F.col("runs")).alias("kinds")).select(
         "user_id",
         F.array_join("kinds", ",", "<null>").alias("kinds"),
         F.size("kinds").cast("bigint").alias("n"),
@@ -343,13 +349,13 @@ def _(t: Inputs) -> DataFrame:
 @named(
     "sql_string_agg",
     """SELECT user_id, string_agg(kind, ', ' ORDER BY kind DESC) AS kinds
-    FROM (SELECT DISTINCT user_id, nullif(event_type, 'signup') AS kind FROM events) GROUP BY 1""",
+    FROM (SELECT user_id, nullif(event_type, 'signup') AS kind FROM events) GROUP BY 1""",
 )
 def _(t: Inputs) -> DataFrame:
-    return t.spark.sql(
-        """SELECT user_id, listagg(kind, ', ') WITHIN GROUP (ORDER BY kind DESC) AS kinds
-        FROM {kinds} GROUP BY user_id""",
-        kinds=_user_kinds(t),
+    runs = F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n"))), asc=False)
+    grouped = _user_kinds(t).groupBy("user_id").agg(runs.alias("runs"))
+    return grouped.select(
+        "user_id", F.when(F.size("runs") > 0, F.array_join(_repeated(F.col("runs")), ", ")).alias("kinds")
     )
 
 
@@ -541,12 +547,22 @@ def _(t: Inputs) -> DataFrame:
 @named(
     "fn_json",
     """SELECT event_id, CAST(props -> '$.k' AS VARCHAR) AS k_json,
+      CAST(json_object('t', event_type) -> '$.t' AS VARCHAR) AS t_json,
+      json_object('t', event_type) ->> '$.t' AS t,
       CAST(props ->> '$.k' AS INT) AS k, props ->> '$.missing' AS missing FROM events""",
 )
 def _(t: Inputs) -> DataFrame:
     member = lambda key: F.get_json_object("props", f"$.{key}")
+
+    def as_json(text, key):
+        """The member as JSON: texts keep their quotes."""
+        return F.to_json(F.variant_get(F.parse_json(text), f"$.{key}", "variant"))
+
     return t("events").select(
-        "event_id", member("k").alias("k_json"), member("k").cast("int").alias("k"),
+        "event_id", as_json("props", "k").alias("k_json"),
+        as_json(F.to_json(F.struct(F.col("event_type").alias("t"))), "t").alias("t_json"),
+        F.get_json_object(F.to_json(F.struct(F.col("event_type").alias("t"))), "$.t").alias("t"),
+        member("k").cast("int").alias("k"),
         member("missing").alias("missing"),
     )
 

@@ -24,7 +24,7 @@ def shared_root(spark: SparkSession) -> str:
     )
     if root:
         return root
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError(f"set {SETTING} to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusql-"))
     return context.getCheckpointDir()

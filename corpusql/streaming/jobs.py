@@ -53,7 +53,10 @@ def stream_metrics(
     period: int = METRIC_PERIOD,
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Windows come out once, when the watermark has passed their end."""
+    """Windows come out once, when the watermark has passed their end.
+
+    The windows still open at the end of the input are withheld.
+    """
     # Watermarks need an instant, so wall-clock times are taken as session time.
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
     return metrics(timed, time, latency, period)
@@ -70,11 +73,17 @@ def stream_retention(
 
 
 def stream_dedupe(
-    messages: DataFrame, key: str, time: str = "ts", redelivery: int = REDELIVERY
+    messages: DataFrame, key: str, time: str = "ts", redelivery: int = REDELIVERY,
+    lateness: int = RETENTION,
 ) -> DataFrame:
-    """At-least-once delivery made exactly-once within the redelivery time."""
+    """At-least-once delivery made exactly-once within the redelivery time.
+
+    A message may be up to ``lateness`` seconds behind the newest one, which is as long as
+    messages are kept; ids are remembered for that time or the redelivery time, if longer.
+    """
     timed = messages.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, f"{redelivery} seconds").dropDuplicatesWithinWatermark([key])
+    kept = max(redelivery, lateness)
+    return timed.withWatermark(time, f"{kept} seconds").dropDuplicatesWithinWatermark([key])
 
 
 def stream_running_eval(rows: DataFrame) -> DataFrame:
@@ -120,8 +129,10 @@ def stream_batches(
     def run(epoch_rows: DataFrame, epoch: int) -> None:
         # Numbering looks at the rows twice; the source is read once.
         epoch_rows.persist()
-        handle(failure_batches(epoch_rows, rows, seconds), epoch)
-        epoch_rows.unpersist()
+        try:
+            handle(failure_batches(epoch_rows, rows, seconds), epoch)
+        finally:
+            epoch_rows.unpersist()
 
     return (
         failures.writeStream.foreachBatch(run)

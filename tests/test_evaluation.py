@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusql.functions.scoring import _scorer, bleu
 from corpusql.functions.text import TEMPLATE_SQL
 from corpusql.operators import evaluation
+from corpusql.operators.evaluation import execution_outcomes
 
 
 def golden_frame(spark):
@@ -164,5 +165,27 @@ def test_execution_outcomes(spark):
     }
     assert "DIVIDE_BY_ZERO" in got["run_time"]["error"]
     assert got["empty"]["error"] == "Invalid SQL syntax"
-    with pytest.raises(ValueError):
-        evaluation.execution_outcomes(spark, [("x", "", "")] * 1001)
+    assert evaluation.execution_outcomes(spark, [("x", "", "")] * 1001).count() == 1001
+
+
+def test_outcomes_of_odd_candidates(spark):
+    spark.range(1).createOrReplaceTempView("kept_view")
+    pairs = [
+        ("drop", "SELECT 1 AS x", "DROP VIEW kept_view"),
+        ("insert", "SELECT 1 AS x", "WITH a AS (SELECT 1) INSERT INTO kept_view SELECT * FROM a"),
+        ("kinds", "SELECT 1 AS x", "SELECT 'abc' AS x"),
+        ("twice", "SELECT 1 AS x", "SELECT 1 AS x, 2 AS x"),
+        ("runtime", "SELECT 1 AS x", "SELECT 1 / 0 AS x"),
+        ("reference", "SELECT nothing FROM nowhere", "SELECT 1 AS x"),
+        ("same", "SELECT 1 AS x", "SELECT 1L AS x;"),
+        ("same again", "SELECT 1 AS x", "SELECT 1L AS x;"),
+    ]
+    got = {r["candidate"]: r for r in execution_outcomes(spark, pairs).collect()}
+    flags = {k: (r["exec_success"], r["exec_match"], r["reference_failed"]) for k, r in got.items()}
+    assert flags == {
+        "drop": (False, False, False), "insert": (False, False, False), "kinds": (True, False, False),
+        "twice": (True, False, False), "runtime": (False, False, False), "reference": (True, True, True),
+        "same": (True, True, False), "same again": (True, True, False),
+    }
+    assert spark.table("kept_view").count() == 1
+    assert "DIVIDE_BY_ZERO" in got["runtime"]["error"]

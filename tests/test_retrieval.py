@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusql.functions.vectors import cosine_distance, embed_input
 from corpusql.operators import retrieval
+from corpusql.operators.retrieval import retrieval_batch
 from corpusql.plans.flows import answer_questions
 
 
@@ -110,3 +111,20 @@ def test_answers_with_a_user_model(spark, data):
     for r in got:
         assert r["sql"] == f"SELECT '{r['question']}'" and r["explanation"] == "Sure"
         assert r["question"] in r["prompt"] and "CREATE TABLE t ()" in r["prompt"]
+
+
+def test_repeated_table_names_stay_apart(spark):
+    registry = spark.createDataFrame(
+        [("s", "t", "CREATE TABLE t (a)", [1.0, 0.0]), ("s", "t", "CREATE TABLE t (b)", [0.0, 1.0]),
+         ("s", "u", "CREATE TABLE u ()", [-1.0, 0.0]), ("s", "u", "CREATE TABLE u ()", [-1.0, 0.0])],
+        "schema_name string, table_name string, ddl string, embedding array<float>",
+    )
+    asked = spark.createDataFrame(
+        [(1, "s", "q", [1.0, 0.1])],
+        "question_id int, schema_name string, question string, embedding array<float>",
+    )
+    rows = sorted(retrieval_batch(asked, registry, 2).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r["ddl"]) for r in rows] == [(1, "CREATE TABLE t (a)"), (2, "CREATE TABLE t (b)")]
+    assert rows[0]["distance"] < rows[1]["distance"]
+    every = retrieval_batch(asked, registry, 4).collect()
+    assert sorted(r["rank"] for r in every) == [1, 2, 3, 4]

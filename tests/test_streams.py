@@ -92,3 +92,14 @@ def test_feedback_stream_over_epochs(spark, tmp_path):
     got = {r["query_id"]: r["user_feedback"] for r in view.collect()}
     # The verdict that came late but was given earlier does not win.
     assert got == {1: -1, 2: -1, 3: None, 4: None}
+
+
+def test_dedupe_keeps_late_rows(spark, tmp_path):
+    # One file a batch, the third an hour behind the first two.
+    folder = str(tmp_path / "messages.parquet")
+    got = set()
+    for i, hour in [(1, 12), (2, 13), (3, 11), (1, 12)]:
+        write(spark, folder, [(i, T0 + timedelta(hours=hour), 0.0)])
+        once = jobs.stream_dedupe(stream(spark, folder), "query_id", "created_at")
+        got = sorted(r["query_id"] for r in run(spark, once, tmp_path, "late").collect())
+    assert got == [1, 2, 3]
