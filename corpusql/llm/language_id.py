@@ -32,6 +32,10 @@ CODES = OWN + SHARED
 UNKNOWN = "und"
 #: Letters coded at a time, which bounds memory for very long texts.
 BLOCK = 1 << 16
+#: Counts folded at a time in learning; texts looked at together, and n-grams kept, after it.
+FOLD = 400_000
+TEXTS = 200
+CACHED = 30_000
 
 
 def _letter_codes() -> np.ndarray:
@@ -112,6 +116,34 @@ class Space:
         return out
 
 
+class Vectors:
+    """Bound vectors of the n-grams met so far, ``CACHED`` at most between lots of texts."""
+
+    def __init__(self, space: Space):
+        self.space = space
+        self.known = np.zeros(0, "i8")
+        self.rows = np.zeros((0, space.dimensions), "f4")
+
+    def learn(self, grams: list[np.ndarray]) -> None:
+        """Makes the n-grams of a lot of texts known, all at once."""
+        wanted = np.unique(np.concatenate([g[:, 0] for g in grams]))
+        fresh = np.setdiff1d(wanted, self.known, assume_unique=True)
+        if not len(fresh):
+            return
+        if len(self.known) + len(fresh) > CACHED:
+            self.known, self.rows, fresh = self.known[:0], self.rows[:0], wanted
+        order = np.argsort(np.concatenate([self.known, fresh]), kind="stable")
+        self.rows = np.concatenate([self.rows, self.space.vectors(fresh).astype("f4")])[order]
+        self.known = np.concatenate([self.known, fresh])[order]
+
+    def bundle(self, grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, grams[:, 0])
+        out = np.zeros(self.space.dimensions)
+        for k in range(0, len(at), 4096):
+            out += grams[k : k + 4096, 1].astype("f4") @ self.rows[at[k : k + 4096]]
+        return out
+
+
 def profiles(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes, as unit rows, from columns ``text`` and ``lang``.
 
@@ -121,24 +153,34 @@ def profiles(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space()
-        totals: dict[str, dict[int, int]] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def folded(parts: list[np.ndarray]) -> np.ndarray:
+            rows = np.concatenate(parts)
+            grams, at = np.unique(rows[:, 0], return_inverse=True)
+            return np.stack([grams, np.bincount(at, rows[:, 1], len(grams)).astype("i8")], axis=1)
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, g, n) for lang, counts in totals.items() for g, n in counts.items()]
-            columns = zip(*rows) if rows else [[], [], []]
+            parts = {lang: folded(p) for lang, p in held.items()}
+            rows = np.concatenate([np.zeros((0, 2), "i8"), *parts.values()])
+            langs = [lang for lang, p in parts.items() for _ in range(len(p))]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
+                [pa.array(langs, pa.string()), pa.array(rows[:, 0]), pa.array(rows[:, 1])],
                 ["lang", "gram", "n"],
             )
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts = totals.setdefault(lang, {})
-                for g, n in space.grams(text.as_py() or "").tolist():
-                    counts[g] = counts.get(g, 0) + n
-            if sum(map(len, totals.values())) > 500_000:
-                yield out()
-                totals.clear()
+                grams = space.grams(text.as_py() or "")
+                held.setdefault(lang, []).append(grams)
+                size += len(grams)
+                if size > FOLD:
+                    held = {name: [folded(p)] for name, p in held.items()}
+                    size = sum(len(p[0]) for p in held.values())
+                    if size > FOLD // 2:
+                        yield out()
+                        held, size = {}, 0
         yield out()
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,32 +227,24 @@ def identified(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Dat
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         space = Space()
-        cached = np.zeros(0, "i8")
-        vectors = np.zeros((0, space.dimensions), "f4")
+        vectors = Vectors(space)
         for series in texts:
-            out = []
-            for text in series:
-                grams = space.grams(text) if text and transposed is not None else np.zeros((0, 2), "i8")
-                if not len(grams):
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                at = np.searchsorted(cached, grams[:, 0])
-                at[at == len(cached)] = 0
-                if not len(cached) or (cached[at] != grams[:, 0]).any():
-                    fresh = np.setdiff1d(grams[:, 0], cached)
-                    if len(cached) > 30_000:  # texts of another script: start anew
-                        cached, vectors, fresh = cached[:0], vectors[:0], grams[:, 0]
-                    order = np.argsort(np.concatenate([cached, fresh]), kind="stable")
-                    vectors = np.concatenate([vectors, space.vectors(fresh).astype("f4")])[order]
-                    cached = np.concatenate([cached, fresh])[order]
-                    at = np.searchsorted(cached, grams[:, 0])
-                bundle = np.zeros(space.dimensions)
-                for k in range(0, len(at), 4096):
-                    bundle += grams[k : k + 4096, 1].astype("f4") @ vectors[at[k : k + 4096]]
-                norm = np.linalg.norm(bundle)
-                cosines = bundle @ transposed / norm if norm else np.zeros(len(langs))
-                best = int(np.argmax(cosines))
-                out.append((langs[best], float(min(1.0, max(0.0, cosines[best])))))
+            out: list[tuple[str, float]] = []
+            for at in range(0, len(series), TEXTS):
+                few = series.iloc[at : at + TEXTS]
+                grams = [
+                    space.grams(t) if t and transposed is not None else np.zeros((0, 2), "i8") for t in few
+                ]
+                vectors.learn(grams)
+                for g in grams:
+                    if not len(g):
+                        out.append((UNKNOWN, 0.0))
+                        continue
+                    bundle = vectors.bundle(g)
+                    norm = np.linalg.norm(bundle)
+                    cosines = bundle @ transposed / norm if norm else np.zeros(len(langs))
+                    best = int(np.argmax(cosines))
+                    out.append((langs[best], float(min(1.0, max(0.0, cosines[best])))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     made = docs.withColumn("_found", predict("text"))
