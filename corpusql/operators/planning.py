@@ -47,6 +47,10 @@ BATCH_SIZE = 10
 SPARE_PAIRS = 5
 
 
+#: Batches a task numbers at a time.
+STRETCH = 10_000
+
+
 def complexity_targets(spark: SparkSession) -> DataFrame:
     rows = [(name, *spec) for name, spec in COMPLEXITY_TARGETS.items()]
     return spark.createDataFrame(
@@ -115,8 +119,14 @@ def generation_prompts(
     left = F.col("planned") - (F.col("batch") - 1) * batch_size
     numbered = (
         plan.where(F.col("planned") > 0)
+        .select("schema_name", "complexity", "planned", batches.alias("_all"),
+                F.explode(F.sequence(F.lit(0), F.floor((batches - 1) / STRETCH))).alias("_stretch"))
+        # Stretches of one schema go to many tasks before their batches are made.
+        .repartition("schema_name", "complexity", "_stretch")
         .select("schema_name", "complexity", "planned",
-                F.explode(F.sequence(F.lit(1), batches)).alias("batch"))
+                F.explode(F.sequence(F.col("_stretch") * STRETCH + 1,
+                                     F.least((F.col("_stretch") + 1) * STRETCH, "_all"))).alias("batch"))
+        .withColumn("batch", F.col("batch").cast("int"))
         .withColumn("batch_size", F.least(F.lit(batch_size), left + SPARE_PAIRS).cast("int"))
     )
     # Four constant rows.

@@ -57,7 +57,7 @@ def _nearest_in_block(k: int):
         dist = np.full((len(questions), len(tables)), np.nan)
         if q_ok.any() and t_ok.any():
             cos = _unit_rows(questions["q_vec"][q_ok]) @ _unit_rows(tables["t_vec"][t_ok]).T
-            dist[np.ix_(q_ok, t_ok)] = np.round(1.0 - cos, RANK_DIGITS)
+            dist[np.ix_(q_ok, t_ok)] = np.round(1.0 - cos, RANK_DIGITS) + 0.0  # no negative zero
         known = q_ok[:, None] & t_ok[None, :]
         kind = np.where(~known, MISSING, np.where(np.isnan(dist), UNDEFINED, NUMBER))
         # Candidates are all tables no farther than the k-th number, ties included;

@@ -254,7 +254,7 @@ _RANKED = """
     SELECT question_id, table_name, distance, CAST(row_number() OVER (PARTITION BY question_id
         ORDER BY distance NULLS LAST, table_name) AS INT) AS rank
     FROM (SELECT q.question_id, r.table_name, round(1 - list_cosine_similarity(
-          q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS distance
+          q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) + 0.0 AS distance
       FROM v_questions q JOIN v_registry r USING (schema_name)))
 """
 

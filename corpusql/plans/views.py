@@ -126,12 +126,12 @@ SELECT vec_id, 'schema_' || CAST(label % 4 AS STRING) AS schema_name, 'table_' |
   '  CREATE TABLE table_' || CAST(vec_id AS STRING) || ' (id INTEGER, status STRING); CREATE INDEX i ON table_' || CAST(vec_id AS STRING) || ' (id);  ' AS ddl,
   CASE WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 3 = 1 THEN '' ELSE 'Rows about topic ' || CAST(label AS STRING) END AS description,
   embedding
-FROM embeddings WHERE vec_id % 10 <> 0
+FROM embeddings
 """,
     "v_questions": r"""
 SELECT vec_id AS question_id, 'schema_' || CAST(label % 5 AS STRING) AS schema_name,
   'Question ' || CAST(vec_id AS STRING) AS question, embedding
-FROM embeddings WHERE vec_id % 10 = 0
+FROM embeddings
 """,
     "v_turns": r"""
 SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer

@@ -122,7 +122,8 @@ def stream_batches(
 ) -> StreamingQuery:
     """Hand batches of failures to ``handle(batches, epoch)`` every ``seconds``.
 
-    An epoch may be replayed after a failure; write by epoch to stay exactly-once.
+    An epoch may be replayed after a failure; write by epoch to stay exactly-once. Numbers
+    restart in every epoch, so (epoch, window_start, batch) names a batch.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
 
@@ -142,39 +143,26 @@ def stream_batches(
     )
 
 
-def stream_latest_feedback(feedback: DataFrame) -> DataFrame:
-    """Last accepted feedback per query as state; use update mode."""
-    return (
-        filter_feedback(feedback)
-        .where("accepted")
-        .groupBy("query_id")
-        .agg(
-            F.max_by("feedback", F.struct("submitted_at", "feedback_id")).alias("user_feedback"),
-            F.max(F.struct("submitted_at", "feedback_id")).alias("version"),
-        )
+def stream_accepted_feedback(feedback: DataFrame) -> DataFrame:
+    """Accepted feedback with its version; which is the last is told on reading, without state."""
+    return filter_feedback(feedback).where("accepted").select(
+        "query_id",
+        F.col("feedback").alias("user_feedback"),
+        F.struct("submitted_at", "feedback_id").alias("version"),
     )
 
 
 def stream_feedback(
     feedback: DataFrame, changes_path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Append changed verdicts per epoch; ``feedback_view`` folds them into the log.
-
-    Each epoch is its own folder, so a replay overwrites what it wrote before.
-    """
-    trigger = {"availableNow": True} if available_now else {"processingTime": "60 seconds"}
+    """Append accepted verdicts; ``feedback_view`` folds them into the log."""
+    return run_to_table(stream_accepted_feedback(feedback), changes_path, checkpoint, available_now)
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{changes_path}/epoch={epoch}")
 
-    return (
-        stream_latest_feedback(feedback)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+def compact_feedback(changes: DataFrame, path: str) -> None:
+    """The last verdict of each query as a table of its own, to read instead of all changes."""
+    last = F.max_by(F.struct("user_feedback", "version"), "version").alias("last")
+    changes.groupBy("query_id").agg(last).select("query_id", "last.*").write.parquet(path)
 
 
 def feedback_view(log: DataFrame, changes: DataFrame) -> DataFrame:
