@@ -222,6 +222,38 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+_RUN_NAMES = list(_RUNS)
+_EVALUATED = (
+    "WITH runs AS (" + " UNION ALL ".join(_run_oracle(n) for n in _RUNS) + "), "
+    + bleu_oracle("runs", "candidate")
+    + f""", evaluated AS (SELECT p.schema_name, p.complexity, r.exec_success, r.exec_match, s.bleu
+      FROM v_pairs p JOIN runs r ON r.candidate = ({_RUN_NAMES!r})[p.pair_id % {len(_RUNS)} + 1]
+      JOIN scores s USING (candidate)) """
+)
+
+
+@named(
+    "evaluate_run",
+    _EVALUATED + f"""SELECT 'overall' AS level, NULL AS value, {_MEANS} FROM evaluated
+    UNION ALL SELECT 'schema_name', schema_name, {_MEANS} FROM evaluated GROUP BY schema_name
+    UNION ALL SELECT 'complexity', complexity, {_MEANS} FROM evaluated GROUP BY complexity""",
+)
+def _(t: Inputs) -> DataFrame:
+    # Every pair of the corpus is scored; equal query texts run once and share the verdict.
+    t.register("orders", "customer")
+    outcomes = evaluation.execution_outcomes(t.spark, [(k, *v) for k, v in _RUNS.items()])
+    names = F.array(*[F.lit(n) for n in _RUN_NAMES])
+    texts = {side: F.create_map(*[F.lit(x) for n, v in _RUNS.items() for x in (n, v[i])])
+             for i, side in enumerate(("reference_sql", "generated_sql"))}
+    pairs = t("v_pairs").select(
+        "schema_name", "complexity",
+        F.get(names, (F.col("pair_id") % len(_RUNS)).cast("int")).alias("candidate"),
+    ).withColumns({side: F.element_at(by_name, F.col("candidate")) for side, by_name in texts.items()})
+    rolled = evaluation.eval_rollup(evaluation.evaluate_pairs(pairs, outcomes))
+    means = ("execution_accuracy", "validity_rate", "avg_bleu")
+    return rolled.withColumns({c: F.round(c, 6) for c in means})
+
+
 @named(
     "evaluate_corpus",
     "WITH routed AS (SELECT pair_id, sql AS ref, CASE "
@@ -281,6 +313,21 @@ def _(t: Inputs) -> DataFrame:
     return ranked.select("question_id", "question", "rank", "table_name", "ddl")
 
 
+@named(
+    "retrieve_tables",
+    """SELECT table_name, round(distance, 6) AS distance FROM (
+      SELECT table_name, round(1 - list_cosine_similarity((SELECT embedding::DOUBLE[]
+        FROM v_questions WHERE question_id = 7), embedding::DOUBLE[]), 9) + 0.0 AS distance
+      FROM v_registry WHERE schema_name = 'schema_1')
+    ORDER BY distance NULLS LAST, table_name LIMIT 5""",
+)
+def _(t: Inputs) -> DataFrame:
+    # The one question asked is a single vector.
+    asked = t("v_questions").where("question_id = 7").select("embedding").first()["embedding"]
+    nearest = retrieval.retrieve_tables(t("v_registry"), "schema_1", F.lit(asked).cast("array<double>"))
+    return nearest.select("table_name", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
 @named(
     "schema_not_found",
     "SELECT question_id, schema_name FROM v_questions "
