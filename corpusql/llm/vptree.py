@@ -54,8 +54,8 @@ class Tree:
         away = distances(self.points[rest], self.points[top : top + 1])[0]
         median = float(np.median(away))
         inner = away <= median
-        if inner.all():  # more than half are equally far: cut anywhere, bounds still hold
-            inner = np.arange(len(rest)) < len(rest) // 2
+        if inner.all():  # half or more are equally far, at the rim: some of those go outside
+            inner[np.argsort(away, kind="stable")[len(rest) // 2 :]] = False
         return top, median, self._build(rest[inner]), self._build(rest[~inner])
 
     def nearest(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def nearest(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding",
     )
     questions = asked.select(
-        F.size("embedding").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"),
+        F.size("embedding").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
         F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding",
     )
 
