@@ -5,10 +5,12 @@ vantage point splits the rest by the median distance to it, again and again, dow
 A query descends on its own side first; the triangle inequality then says that the other side
 can hold something nearer than the k-th best so far (distance t) only if the query's distance
 to the vantage point is within t of the median. ``factor`` relaxes this: within t / factor.
-Factor one is exact; larger factors visit less and may miss.
+Factor one is exact and the default; larger factors visit less and may miss, most of all
+where the vectors fill few of their dimensions.
 
-Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query, so a
-vector that a third of all rows share stays k + 1 rows; they are picked before the shuffle.
+Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query, and of
+rows with one id and one vector only k, so a vector that a third of all rows share stays
+k (k + 1) rows at most; they are picked before the shuffle, over rows folded with a count.
 Queries meet shards in blocks, and a task holds one shard and one block of queries.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from corpusql.llm.common import written
 
 K = 10
-FACTOR = 4.0
+FACTOR = 1.0
 SHARD_ROWS = 16_384
 QUERY_ROWS = 2_048
 LEAF_ROWS = 64
@@ -125,7 +127,13 @@ def nearest(
     """
     rows = written(usable(vectors), "vectors")
     by_value = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = rows.withColumn("n", F.row_number().over(by_value)).where(F.col("n") <= k + 1).drop("n")
+    folded = rows.groupBy("embedding", "vec_id").agg(F.count("*").alias("copies"))
+    # Places are counted by id: all rows of a query's own id fall away together.
+    kept = (
+        folded.withColumn("n", F.row_number().over(by_value)).where(F.col("n") <= k + 1)
+        .select("vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("n"))
+        .drop("n")
+    )
     kept = written(kept, "candidates")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     shards = max(1, -(-kept.count() // shard_rows))

@@ -79,3 +79,23 @@ def test_recall_on_the_table(spark):
         hits += len(want & set(r.v))
         total += len(want)
     assert total == 10 * (ids % 100 == 0).sum() and hits / total >= 0.9
+
+
+def test_default_misses_nothing_in_few_intrinsic_dimensions(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (3000, 4)) @ rng.normal(0, 1, (4, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in range(0, 3000, 100):
+        assert got[i] == {n for _, n in brute(range(3000), points, i, points[i], 10)}
+
+
+def test_repeated_ids_take_no_places(spark):
+    rows = [(0, [1.0, 1.0])] * 15 + [(i, [1.0, 1.0]) for i in (1, 1, 2, 3)] + [(i, [float(i), 0.0]) for i in range(4, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in nearest(df).where("query_id = 0").orderBy("rank").collect()]
+    want = brute([i for i, _ in rows], np.array([v for _, v in rows]), 0, np.ones(2), 10)
+    assert [i for i, _ in got] == [i for _, i in want] and got[3][1] == 0.0
