@@ -9,7 +9,9 @@ documents are dropped from all documents but the one of smallest id.
 A template cannot recur more than its leaf, so leaves are counted first, by partial sums, and
 only distinct lines of frequent leaves are parsed. A leaf with many distinct lines is parsed
 in blocks of about ``BLOCK_LINES``, and then the blocks' templates are parsed once more
-together. Repeats of a line are folded before they meet, so a line in a third of all
+together. A template of which hardly a word is constant says nothing: its lines are compared
+as they stand, digits and all. So are lines of a few words, where a variable place would be
+most of the line; each of them is a leaf of its own. Repeats of a line are folded before they meet, so a line in a third of all
 documents is one line to its leaf.
 """
 
@@ -30,7 +32,11 @@ from corpusql.llm.common import written
 DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
+#: Lines of fewer words have no variable places.
 MIN_WORDS = 5
+#: A template drops lines only if this share of its words is constant. Lines that agree word by
+#: word never fall below it (``SIMILARITY`` with variable places at one half), masked ones do.
+CONSTANT = 0.4
 BLOCK_LINES = 2_000
 VARIABLE = "<*>"
 DIGITS = frozenset("0123456789")
@@ -44,15 +50,36 @@ def masked(line: str) -> list[str]:
     return [w if DIGITS.isdisjoint(w) else VARIABLE for w in words]
 
 
+def _sign(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def keys(words: list[str]) -> tuple[int, int]:
     """Hashes of the leaf and of the masked line."""
     lead = " ".join([str(len(words)), *words[:DEPTH]])
-    sign = lambda text: xxhash.xxh3_64_intdigest(text) - (1 << 63)
-    return sign(lead), sign(" ".join(words))
+    return _sign(lead), _sign(" ".join(words))
+
+
+def judged(line: str, min_words: int) -> tuple[list[str], int, int, int] | None:
+    """Words, leaf, key and key as it stands of a line; None for what has no word.
+
+    Short lines are words as they stand; they need a letter, so that rules, braces and
+    single numbers stay.
+    """
+    words = line.split()
+    if not words:
+        return None
+    raw = _sign(" ".join(words))
+    if len(words) < min_words:
+        if not any(c.isalpha() for c in line):
+            return None
+        return words, raw, raw, raw
+    words = masked(line)
+    return words, *keys(words), raw
 
 
 def _line_rows(min_words: int) -> Callable:
-    """(leaf, line, doc) once for each document, and whether it is the leaf's first there."""
+    """(leaf, line, raw, doc) once for each document, and whether leaf and line are new there."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,17 +87,17 @@ def _line_rows(min_words: int) -> Callable:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 leaves: set[int] = set()
                 lines: set[int] = set()
+                raws: set[int] = set()
                 for line in set((text.as_py() or "").split("\n")):
-                    words = masked(line)
-                    if len(words) >= min_words:
-                        leaf, key = keys(words)
-                        if key not in lines:
-                            lines.add(key)
-                            rows.append((leaf, key, doc, int(leaf not in leaves)))
-                            leaves.add(leaf)
-            columns = list(zip(*rows)) if rows else [[]] * 4
+                    if (found := judged(line, min_words)) and found[3] not in raws:
+                        _, leaf, key, raw = found
+                        rows.append((leaf, key, raw, doc, int(leaf not in leaves), int(key not in lines)))
+                        leaves.add(leaf)
+                        lines.add(key)
+                        raws.add(raw)
+            columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "doc", "opens"]
+                [pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "raw", "doc", "opens", "fresh"]
             )
 
     return job
@@ -86,10 +113,9 @@ def _wanted_lines(min_words: int) -> Callable:
                 if wanted.is_valid:
                     left = set(wanted.values.to_pylist())
                     for line in (text.as_py() or "").split("\n"):
-                        words = masked(line)
-                        if len(words) >= min_words and (key := keys(words)[1]) in left:
-                            left.discard(key)
-                            found.append((key, " ".join(words)))
+                        if (parts := judged(line, min_words)) and parts[2] in left:
+                            left.discard(parts[2])
+                            found.append((parts[2], " ".join(parts[0])))
             columns = list(zip(*found)) if found else [[], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["line", "words"]
@@ -141,17 +167,20 @@ def _parse_group(similarity: float) -> Callable:
 def templates(
     docs: DataFrame, by_doc: DataFrame, min_docs: int, min_words: int, similarity: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Lines (line, doc) of frequent leaves, and the template of each such line."""
+    """Lines (line, raw, doc) of frequent leaves, and the template of each such line.
+
+    ``constant`` says whether enough of the template's words are.
+    """
     rows = written(
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(_line_rows(min_words), "leaf long, line long, doc long, opens long"),
+        .mapInArrow(_line_rows(min_words), "leaf long, line long, raw long, doc long, opens long, fresh long"),
         "lines",
     )
     frequent = rows.groupBy("leaf").agg(F.sum("opens").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     lines = rows.join(frequent, "leaf", "left_semi")
     distinct = written(
-        lines.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc").alias("source")), "distinct"
+        lines.groupBy("leaf", "line").agg(F.sum("fresh").alias("docs"), F.min("doc").alias("source")), "distinct"
     )
     wanted = distinct.groupBy("source").agg(F.collect_list("line").alias("_wanted"))
     texts = (
@@ -172,11 +201,13 @@ def templates(
         "leaf", F.xxhash64("template").alias("line"), "docs", F.col("template").alias("words")
     )
     merged = heads.groupBy("leaf").applyInPandas(_parse_group(similarity), kind)
+    words = F.split("shown", " ", -1)
+    constant = F.size(F.filter(words, lambda w: w != VARIABLE)) >= CONSTANT * F.size(words)
     named = first.select("leaf", "line", F.xxhash64("template").alias("head")).join(
         merged.select("leaf", F.col("line").alias("head"), F.xxhash64("leaf", "template").alias("template"), F.col("template").alias("shown")),
         ["leaf", "head"],
-    ).select("line", "template", "shown")
-    return lines.select("line", "doc"), named
+    ).select("line", "template", "shown", constant.alias("constant"))
+    return lines.select("line", "raw", "doc"), named
 
 
 def _kept_rows(names: list[str], min_words: int) -> Callable:
@@ -191,7 +222,7 @@ def _kept_rows(names: list[str], min_words: int) -> Callable:
                     drop = set(gone.values.to_pylist())
                     kept = [
                         x for x in lines
-                        if len(w := masked(x)) < min_words or keys(w)[1] not in drop
+                        if not (found := judged(x, min_words)) or drop.isdisjoint(found[2:])
                     ]
                 texts.append(text if len(kept) == len(lines) else "\n".join(kept))
                 total.append(len(lines) if text is not None else 0)
@@ -208,15 +239,19 @@ def without_recurring_lines(
 ) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``.
 
-    Lines end at line feeds. A line of at least ``min_words`` words is dropped if its template
-    occurs in ``min_docs`` documents or more, unless the document is the template's first by
-    doc_id. Null texts stay null. Rows without a doc_id keep their lines and are not counted;
+    Lines end at line feeds. A line is dropped if its template occurs in ``min_docs`` documents
+    or more, unless the document is the template's first by doc_id. Lines of fewer than
+    ``min_words`` words, and lines whose template has too few constant words, count as they
+    stand instead of by template; short lines without a letter stay. Null texts stay null. Rows without a doc_id keep their lines and are not counted;
     rows that share a doc_id are one document. All columns stay; the three names are replaced.
     """
     names = docs.columns
     by_doc = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).repartition("_doc")
     lines, named = templates(docs, by_doc, min_docs, min_words, similarity)
-    own = lines.join(named.select("line", "template"), "line")
+    own = lines.join(named.select("line", "template", "constant"), "line").select(
+        "doc", F.when(F.col("constant"), F.col("template")).otherwise(F.xxhash64("raw", F.lit("raw"))).alias("template"),
+        F.when(F.col("constant"), F.col("line")).otherwise(F.col("raw")).alias("line"),
+    )
     recurring = (
         own.select("template", "doc").distinct().groupBy("template")
         .agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs)

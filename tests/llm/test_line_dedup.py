@@ -74,3 +74,19 @@ def test_blocks_of_a_large_leaf_meet(spark, documents, monkeypatch):
     rows = [(i, f"seen at the corner of street{'abcdefghij'[i % 10]}x{'klmno'[i % 5]} again") for i in range(60)]
     out = {r.doc_id: r.n_dropped for r in line_digests(documents(rows)).collect()}
     assert out == {i: int(i > 0) for i in range(60)}
+
+
+def test_short_lines_recur_as_they_stand(documents):
+    rows = [(i, f"own {'abcdefghijklmnopqrst'[i]}\nAll rights reserved.\nPage {i}\n---\nPage 1 of 2") for i in range(20)]
+    rows += [(i, "rare line") for i in range(30, 39)]
+    out = {r.doc_id: r for r in without_recurring_lines(documents(rows)).collect()}
+    assert out[0].kept_text == rows[0][1] and all(out[i].n_dropped == 0 for i in range(30, 39))
+    for i in range(1, 20):
+        assert out[i].kept_text == f"own {'abcdefghijklmnopqrst'[i]}\nPage {i}\n---"
+
+
+def test_number_rows_are_no_template(documents):
+    rows = [(i, f"{i} {i + 1} {i + 2} {i + 3} {i + 4}\n7 7 7 7 7 7\nread {i} of the {i} books") for i in range(20)]
+    out = {r.doc_id: r.kept_text for r in without_recurring_lines(documents(rows)).collect()}
+    assert out[0] == rows[0][1]
+    assert all(out[i] == rows[i][1].split("\n")[0] for i in range(1, 20))
