@@ -263,6 +263,40 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return profiles(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang"))
 
 
+#: Learning rows that limits are taken from, about; lengths of pieces of them, as powers of two.
+LIMIT_ROWS, PIECES = 4_000, (4, 13)
+#: A limit is this share of this quantile, from so many pieces of a length at least.
+LIMIT_SHARE, LIMIT_QUANTILE, LIMIT_PIECES = 0.5, 0.05, 50
+
+
+def length_class(text: Column) -> Column:
+    """Binary logarithm, cut down, of about how many n-grams a text has; null without a text."""
+    return F.floor(F.log2(F.greatest(F.lit(1), F.length(F.regexp_replace(text, r"\P{L}+", " ")))))
+
+
+def limits(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> list[tuple[int, float]]:
+    """(length class, cosine) in order: below it, texts of the class and up are in no known language.
+
+    Half the cosine that all but 5 % of learning texts cut to that length have with their own
+    language. Lengths with few pieces, and those below the shortest, are left to the next
+    shorter one or to the caller. Only some of the rows are scored, however many there are.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    step = max(1, rows.count() // LIMIT_ROWS)
+    rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(step)) == 0)
+    sizes = F.array(*(F.lit(1 << k) for k in range(PIECES[0], PIECES[1] + 1)))
+    pieces = rows.select("lang", "text", F.explode(sizes).alias("n")).where(F.length("text") >= F.col("n")).select(
+        "lang", F.expr("substring(text, 1, n)").alias("text")
+    )
+    right = identified(pieces, langs, prototypes).where(F.col("lang") == F.col("lang_pred"))
+    found = (
+        right.groupBy(length_class(F.col("text")).alias("size"))
+        .agg(F.count("*").alias("n"), F.percentile_approx("score", LIMIT_QUANTILE).alias("score"))
+        .where(F.col("n") >= LIMIT_PIECES).orderBy("size").collect()
+    )
+    return [(r["size"], LIMIT_SHARE * r["score"]) for r in found]
+
+
 def language_of(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score; learned from rows not held out."""
     langs, prototypes = learn(docs)
