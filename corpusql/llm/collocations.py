@@ -34,7 +34,7 @@ ABSORBED = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
 #: Words of one language that a lot holds before it is closed (at the end of a text).
-LOT = 4_000_000
+LOT = 2_000_000
 
 #: What ends a piece; each becomes the first of them, which so can be no part of a word.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -128,20 +128,13 @@ def _extended(keep: bool) -> Callable:
 def _entries(relation: DataFrame, keys: list[str], first: int) -> DataFrame:
     """The dictionaries of a relation, an entry a row; ``number`` is how the places name it."""
     zipped = F.arrays_zip(*(F.col(k) for k in keys), "counts")
-    return relation.select("lot", "lang", F.posexplode(zipped).alias("at", "e")).select(
-        "lot", "lang", (F.col("at") + first).alias("number"),
+    lang = ["lang"] if keys == ["words"] else []  # ids of phrases imply their language
+    return relation.select("lot", *lang, F.posexplode(zipped).alias("at", "e")).select(
+        "lot", *lang, (F.col("at") + first).alias("number"),
         *(F.col(f"e.{k}").alias(k[:-1]) for k in keys), F.col("e.counts").alias("n"),
     ).where("n > 0")
 
 
-def _phrases(spark_frame: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Distinct frequent phrases with an id, which is fixed once they are written."""
-    return written(
-        spark_frame.select("lang", *keys, "f").distinct().withColumn("id", F.monotonically_increasing_id()),
-        name,
-    )
-
-
 def frequent_phrases(
     docs: DataFrame, support: int = SUPPORT, length: int = LENGTH
 ) -> tuple[list[DataFrame], DataFrame]:
@@ -156,28 +149,30 @@ def frequent_phrases(
     totals = written(relation.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     keys, first, found = ["words"], 0, []
     for k in range(1, length + 1):
-        own = [key[:-1] for key in keys]
+        own = [*(["lang"] if k == 1 else []), *(key[:-1] for key in keys)]
         entries = _entries(relation, keys, first)
-        if k < length:
-            kept = written(
-                entries.withColumn("f", F.sum("n").over(Window.partitionBy("lang", *own)))
-                .where(F.col("f") >= support).drop("n"), "frequent",
-            )
-        else:
-            kept = entries.groupBy("lang", *own).agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-        phrases = _phrases(kept, own, "phrases")
-        found.append(_named(phrases, found[-1] if found else None))
-        if k < length:
-            mine = kept.join(phrases.select("lang", *own, "id"), ["lang", *own]).groupBy("lot").agg(
-                F.collect_list(F.struct("number", "id")).alias("kept")
-            )
-            longer = written(
-                relation.select("lot", "lang", "size", "places").join(mine, "lot")
-                .select("lot", "lang", "size", "places", "kept.number", "kept.id")
-                .mapInArrow(_extended(k + 1 < length), _LONGER), "occurrences",
-            )
-            discard(relation, kept)
-            relation, keys, first = longer, ["lefts", "rights"], 1
+        if k == length:
+            counted = entries.groupBy(*own).agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+            phrases = counted.withColumn("id", F.monotonically_increasing_id())
+            found.append(_named(phrases, found[-1] if found else None))
+            break
+        # One exchange counts phrases, numbers them (a phrase is known by its first entry) and
+        # says which entries of which lot stay.
+        same = Window.partitionBy(*own)
+        kept = written(
+            entries.withColumn("entry", F.monotonically_increasing_id())
+            .withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("entry").over(same))
+            .where(F.col("f") >= support).drop("n"), "frequent",
+        )
+        found.append(_named(kept.where("entry = id").select("id", *own, "f"), found[-1] if found else None))
+        mine = kept.groupBy("lot").agg(F.collect_list(F.struct("number", "id")).alias("kept"))
+        longer = written(
+            relation.select("lot", "lang", "size", "places").join(mine, "lot")
+            .select("lot", "lang", "size", "places", "kept.number", "kept.id")
+            .mapInArrow(_extended(k + 1 < length), _LONGER), "occurrences",
+        )
+        discard(relation, kept)
+        relation, keys, first = longer, ["lefts", "rights"], 1
     discard(relation)
     return found, totals
 
@@ -186,21 +181,22 @@ def _named(phrases: DataFrame, shorter: DataFrame | None) -> DataFrame:
     """Words, heads and tails of phrases, from those of the phrases one word shorter."""
     if shorter is None:
         none = F.array().cast("array<long>")
-        return phrases.select(
+        named = phrases.select(
             "id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
             none.alias("heads"), none.alias("tails"),
         )
-    side = lambda name: shorter.select(
-        F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("phrase", "last", "f", "heads", "tails"))
-    )
-    return written(
-        phrases.join(side("left"), "left").join(side("right"), "right").select(
-            "id", "lang", F.concat("left_phrase", F.lit(" "), "right_last").alias("phrase"),
+    else:
+        side = lambda name: shorter.select(
+            F.col("id").alias(name),
+            *(F.col(c).alias(f"{name}_{c}") for c in ("lang", "phrase", "last", "f", "heads", "tails")),
+        )
+        named = phrases.join(side("left"), "left").join(side("right"), "right").select(
+            "id", F.col("left_lang").alias("lang"), F.concat("left_phrase", F.lit(" "), "right_last").alias("phrase"),
             F.col("right_last").alias("last"), "f",
             F.concat("left_heads", F.array("left_f")).alias("heads"),
             F.concat(F.array("right_f"), "right_tails").alias("tails"), "left", "right",
-        ), "named",
-    )
+        )
+    return written(named, "phrases")
 
 
 def collocations(
