@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.llm.bpe import PATTERN, Vocabulary, default_vocabulary
+from corpusql.llm.bpe import PATTERN, Encoder, Vocabulary, default_vocabulary
 from corpusql.llm.common import written
 
 SIZE = 1024
@@ -164,7 +164,8 @@ def _tokenizer(path: str):
     """ids of a text, as the vocabulary file defines them.
 
     tiktoken works on ranks; they say the same where every merge makes the next id, which is
-    checked. Any other vocabulary goes through the tokenizers library.
+    checked. Any other vocabulary goes through the tokenizers library. Texts that tiktoken gives
+    up on (its pattern runs out of stack on a million blanks) go through this package's encoder.
     """
     vocabulary = Vocabulary(path)
     made = [i for _, i in vocabulary.ranks.values()]
@@ -178,7 +179,17 @@ def _tokenizer(path: str):
     encoding = tiktoken.Encoding(
         "vocabulary", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens=vocabulary.special
     )
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+    slow: list[Encoder] = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+        except ValueError:
+            if not slow:
+                slow.append(Encoder(path))
+            return np.frombuffer(b"".join(slow[0].ids([text])), "<u4")
+
+    return encode
 
 
 _PIECES = (

@@ -69,5 +69,15 @@ def test_pieces_hold_all_ids(spark, documents, size):
     assert sum(f < size for f in fills) <= 1 and max(fills) <= size
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, " \n\t" * 500_000 + "end", "a" * 2_000_000])
+def test_long_runs(documents, text):
+    rows = packed(documents([text, "short"])).collect()
+    ids = Tokenizer.from_file(default_vocabulary()).encode(text, add_special_tokens=False).ids + [0]
+    raw = np.array(ids, "<u4").tobytes()
+    mine = sorted((r for r in rows if r.doc_id == 0), key=lambda r: r.start)
+    assert sum(r.length for r in mine) == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(raw[4 * r.start : 4 * (r.start + r.length)]) for r in mine)
+
+
 def test_empty_table(documents):
     assert packed(documents(["a"]).limit(0)).count() == 0
