@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import discard, written
+from corpusql.llm.common import discard, work_table
 
 SUPPORT = 10
 LENGTH = 3
@@ -145,8 +145,8 @@ def frequent_phrases(
     ids of the phrases one word shorter). The second result has lang and n.
     """
     source = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    relation = written(source.mapInArrow(_lots, _LOTS), "occurrences")
-    totals = written(relation.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
+    relation = work_table(source.mapInArrow(_lots, _LOTS), "occurrences")
+    totals = work_table(relation.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     keys, first, found = ["words"], 0, []
     for k in range(1, length + 1):
         own = [*(["lang"] if k == 1 else []), *(key[:-1] for key in keys)]
@@ -159,14 +159,14 @@ def frequent_phrases(
         # One exchange counts phrases, numbers them (a phrase is known by its first entry) and
         # says which entries of which lot stay.
         same = Window.partitionBy(*own)
-        kept = written(
+        kept = work_table(
             entries.withColumn("entry", F.monotonically_increasing_id())
             .withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("entry").over(same))
             .where(F.col("f") >= support).drop("n"), "frequent",
         )
         found.append(_named(kept.where("entry = id").select("id", *own, "f"), found[-1] if found else None))
         mine = kept.groupBy("lot").agg(F.collect_list(F.struct("number", "id")).alias("kept"))
-        longer = written(
+        longer = work_table(
             relation.select("lot", "lang", "size", "places").join(mine, "lot")
             .select("lot", "lang", "size", "places", "kept.number", "kept.id")
             .mapInArrow(_extended(k + 1 < length), _LONGER), "occurrences",
@@ -196,7 +196,7 @@ def _named(phrases: DataFrame, shorter: DataFrame | None) -> DataFrame:
             F.concat("left_heads", F.array("left_f")).alias("heads"),
             F.concat(F.array("right_f"), "right_tails").alias("tails"), "left", "right",
         )
-    return written(named, "phrases")
+    return work_table(named, "phrases")
 
 
 def collocations(

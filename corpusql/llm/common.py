@@ -26,20 +26,31 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and short to recompute.
 
-    The shuffle files behind it are given up at once. The table lives until ``discard`` or the
-    end of the application.
+    The files live until the application ends.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, f"llm-{name}")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    return _table(df, name, "snappy")
+
+
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, for large tables between steps: packed harder, and the shuffle files behind
+    it are given up at once. It lives until ``discard`` or the end of the application.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        return _table(df, name, "zstd")
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            conf.unset(CLEANUP)
         else:
-            spark.conf.set(CLEANUP, before)
+            conf.set(CLEANUP, before)
+
+
+def _table(df: DataFrame, name: str, codec: str) -> DataFrame:
+    spark = df.sparkSession
+    path = fresh_path(spark, f"llm-{name}")
+    df.write.option("compression", codec).parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     table = spark.read.schema(df.schema).parquet(path)
@@ -48,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that no later job reads."""
+    """Deletes tables of ``work_table`` or ``written`` that no later job reads."""
     for df in tables:
         spark = df.sparkSession
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.work_folder)

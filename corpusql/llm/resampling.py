@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import discard, written
+from corpusql.llm.common import discard, work_table
 
 BUCKETS = 10_000
 WORDS_LEAST = 20
@@ -141,7 +141,7 @@ def radix_ranked(df: DataFrame, digits: list[Column], name: str = "rank") -> Dat
     ``name`` is replaced. An empty table stays empty.
     """
     # Helper columns stand beside one struct, so that no column of the table can clash.
-    rows = written(
+    rows = work_table(
         df.select(
             F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name)).alias("row"),
             F.array(*(d.cast("int") for d in digits)).alias("digits"),
@@ -156,7 +156,7 @@ def radix_ranked(df: DataFrame, digits: list[Column], name: str = "rank") -> Dat
     # One pass at least: it makes the places dense.
     for digit in wanted or [None]:
         now = _pass(rows, F.col("digits")[digit] if digit is not None else F.lit(0))
-        now = written(now, "radix")
+        now = work_table(now, "radix")
         discard(rows)
         rows = now
     return rows.select("row.*", F.col("place").alias(name))
@@ -191,7 +191,7 @@ def resampled(
     target weighs by the corpus alone. Of docs only doc_id and text are read, of target only text.
     """
     gain = gains(bucket_counts(docs, buckets), bucket_counts(target, buckets))
-    rows = written(scored(docs, gain, seed), "scored")
+    rows = work_table(scored(docs, gain, seed), "scored")
     able = rows.where(F.col("n_words") >= least)
     bounds = able.agg(F.count("*").alias("n"), F.max("score").alias("top")).first()
     order = [

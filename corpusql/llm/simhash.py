@@ -34,22 +34,29 @@ BLOCK = 1 << 14
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_bits(text: str | None, size: int = SHINGLE) -> np.ndarray | None:
-    """For each bit, highest first, whether it is set in over half the shingles' hashes."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles in order, repeats included; a text of fewer words is one shingle."""
     words = text.encode().translate(LOWER).split() if text else []
     if not words:
-        return np.zeros(64, bool)
+        return np.zeros(0, ">u8")
     if len(words) <= size:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
-    total = max(1, len(words) - size + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), ">u8", total)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), ">u8", max(1, len(words) - size + 1))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, highest first, whether it is set in over half the hashes (big-endian)."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, total, BLOCK):
+    for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK]
         counts += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return 2 * counts > total
+    return 2 * counts > len(hashes)
+
+
+def shingle_bits(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    return majority(shingle_hashes(text, size))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -201,6 +208,21 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def links(members: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges u and v between nodes, which join what lies within ``distance`` bits.
+
+    ``members`` has node long and bits long, a row for each distinct fingerprint.
+    """
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError("two segments find differences of up to 3 bits")
+    return (
+        members.select("node", "bits")
+        .mapInArrow(_tables, "entry long, node long, bits long, visits boolean")
+        .repartition("entry").sortWithinPartitions("entry")
+        .mapInArrow(_entry_edges(distance), "u long, v long")
+    )
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, bits and component_id: the smallest doc_id reachable over links.
 
@@ -208,19 +230,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     and blank texts have fingerprint zero and link like any other. Rows without a doc_id keep
     a null component and link nobody. Repeated rows give a row each.
     """
-    if not 0 <= distance <= DISTANCE:
-        raise ValueError("two segments find differences of up to 3 bits")
     prints = written(fingerprints(docs), "fingerprints")
     members = written(
         prints.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node")), "members"
     )
-    edges = (
-        members.select("node", "bits")
-        .mapInArrow(_tables, "entry long, node long, bits long, visits boolean")
-        .repartition("entry").sortWithinPartitions("entry")
-        .mapInArrow(_entry_edges(distance), "u long, v long")
-    )
-    groups = members.join(components(edges), "node", "left").select(
+    groups = members.join(components(links(members, distance)), "node", "left").select(
         "bits", F.coalesce("root", "node").alias("component_id")
     )
     return prints.join(groups, "bits", "left").select(
