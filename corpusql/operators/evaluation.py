@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, MapType, NumericType
 
 from corpusql.functions.scoring import bleu
 from corpusql.functions.text import is_valid_syntax
+from corpusql.operators.execution import INVALID_SYNTAX, PARALLEL, SECONDS, run_candidates
 from corpusql.operators.ranking import with_positions
 from corpusql.operators.sizing import broadcast_if_small
 
-INVALID_SYNTAX = "Invalid SQL syntax"
 BLOCKS_PER_STRETCH = 1_000_000
 
 
@@ -183,94 +182,31 @@ def result_match(
     )
 
 
-def _run(df: DataFrame) -> None:
-    df.write.format("noop").mode("overwrite").save()
-
-
-COMMAND = "Only queries are run"
-
-
-def _is_query(spark: SparkSession, sql: str) -> bool:
-    """Whether the statement only reads: no command and no write anywhere in its parsed plan."""
-    jvm = spark._jvm
-    load = jvm.java.lang.Class.forName
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    loader = spark._jsparkSession.getClass().getClassLoader()
-    writes = [load(logical + name, True, loader) for name in ("Command", "ParsedStatement")]
-    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
-    while todo:
-        plan = todo.pop()
-        if any(kind.isInstance(plan) for kind in writes):
-            return False
-        children = plan.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return True
-
-
-def _planned(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None]:
-    """The query, analysed and not yet run, or why there is none."""
-    try:
-        if not _is_query(spark, sql.rstrip(";")):
-            return None, COMMAND
-        return spark.sql(sql.rstrip(";")), None
-    except PySparkException as failure:
-        return None, str(failure).split("\n", 1)[0]
-
-
-def _failure(df: DataFrame) -> str | None:
-    try:
-        _run(df)
-        return None
-    except PySparkException as failure:
-        return str(failure).split("\n", 1)[0]
-
-
-def _outcome(
-    spark: SparkSession, reference_sql: str, generated_sql: str, digits: int | None
-) -> tuple[bool, bool, bool, str | None]:
-    if not (generated_sql or "").rstrip(";").strip():
-        return False, False, False, INVALID_SYNTAX
-    generated, error = _planned(spark, generated_sql)
-    if generated is None:
-        return False, False, False, error
-    reference, _ = _planned(spark, reference_sql)
-    if reference is not None:
-        try:
-            verdict = result_match(reference, generated, digits=digits).first()
-            if verdict["differing_rows"] is not None:  # both sides ran, once
-                return True, bool(verdict["matches"]), False, None
-        except (PySparkException, ValueError):
-            pass  # which side it was is found below
-    error = _failure(generated)
-    if error:
-        return False, False, False, error
-    reference_failed = reference is None or _failure(reference) is not None
-    return True, reference_failed, reference_failed, None
-
-
 def execution_outcomes(
-    spark: SparkSession, candidates: Iterable[tuple[str, str, str]], digits: int | None = 9
+    spark: SparkSession,
+    candidates: DataFrame | Iterable[tuple[str, str, str]],
+    digits: int | None = 9,
+    seconds: float = SECONDS,
+    parallel: int = PARALLEL,
 ) -> DataFrame:
-    """Run (id, reference SQL, generated SQL) one after another and compare the results.
+    """Run (candidate, reference_sql, generated_sql) and compare the results.
 
-    Each pair of texts is one Spark job and runs once, however many candidates share it; the
-    comparison itself runs both sides. Only queries are run: commands and writes are refused.
-    As long as the generated query ran, a failing reference counts as a match, and
-    ``reference_failed`` tells so. Results that cannot be compared, because columns differ in
-    name or kind or a name occurs twice, do not match.
+    Each distinct pair of texts runs once, however many candidates share it, ``parallel`` pairs
+    at a time. A generated query that has not ended after ``seconds`` is cancelled and did not
+    succeed. Only queries are run: commands and writes are refused. As long as the generated query
+    ran, a failing reference counts as a match, and ``reference_failed`` tells so. Results that
+    cannot be compared, because columns differ in name or kind or a name occurs twice, do not match.
     """
-    known: dict[tuple[str, str], tuple] = {}
-    verdicts = []
-    for key, reference_sql, generated_sql in candidates:
-        texts = reference_sql or "", generated_sql or ""
-        if texts not in known:
-            known[texts] = _outcome(spark, *texts, digits)
-        verdicts.append((key, *known[texts]))
-    return spark.createDataFrame(
-        verdicts,
-        "candidate string, exec_success boolean, exec_match boolean, "
-        "reference_failed boolean, error string",
-    )
+    if not isinstance(candidates, DataFrame):
+        candidates = spark.createDataFrame(
+            list(candidates), "candidate string, reference_sql string, generated_sql string"
+        )
+
+    def compare(reference: DataFrame, generated: DataFrame) -> DataFrame:
+        found = result_match(reference, generated, digits=digits)
+        return found.select(F.when(F.col("differing_rows").isNotNull(), F.col("matches")).alias("matches"))
+
+    return run_candidates(candidates, compare, seconds, parallel)
 
 
 def evaluate_pairs(
@@ -289,7 +225,7 @@ def evaluate_pairs(
             "valid": is_valid_syntax(F.col(generated)),
         }
     )
-    joined = scored.join(broadcast_if_small(outcomes), "candidate", "left")
+    joined = scored.join(outcomes, "candidate", "left")
     ran = F.col("valid") & F.coalesce("exec_success", F.lit(False))
     return joined.withColumns(
         {

@@ -211,11 +211,11 @@ def _run_oracle(name: str) -> str:
 )
 def _(t: Inputs) -> DataFrame:
     t.register("orders", "customer")
-    outcomes = evaluation.execution_outcomes(t.spark, [(k, *v) for k, v in _RUNS.items()])
     pairs = t.spark.createDataFrame(
         [(k, *v) for k, v in _RUNS.items()],
         "candidate string, reference_sql string, generated_sql string",
     )
+    outcomes = evaluation.execution_outcomes(t.spark, pairs)
     return evaluation.evaluate_pairs(pairs, outcomes).select(
         "candidate", "bleu", "valid", "exec_success", "exec_match", "reference_failed",
         F.col("error").isNotNull().alias("has_error"),
@@ -239,9 +239,8 @@ _EVALUATED = (
     UNION ALL SELECT 'complexity', complexity, {_MEANS} FROM evaluated GROUP BY complexity""",
 )
 def _(t: Inputs) -> DataFrame:
-    # Every pair of the corpus is scored; equal query texts run once and share the verdict.
+    # Every pair of the corpus is scored; its distinct query texts run once and share the verdict.
     t.register("orders", "customer")
-    outcomes = evaluation.execution_outcomes(t.spark, [(k, *v) for k, v in _RUNS.items()])
     names = F.array(*[F.lit(n) for n in _RUN_NAMES])
     texts = {side: F.create_map(*[F.lit(x) for n, v in _RUNS.items() for x in (n, v[i])])
              for i, side in enumerate(("reference_sql", "generated_sql"))}
@@ -249,6 +248,8 @@ def _(t: Inputs) -> DataFrame:
         "schema_name", "complexity",
         F.get(names, (F.col("pair_id") % len(_RUNS)).cast("int")).alias("candidate"),
     ).withColumns({side: F.element_at(by_name, F.col("candidate")) for side, by_name in texts.items()})
+    texts_of = pairs.select("candidate", "reference_sql", "generated_sql").distinct()
+    outcomes = evaluation.execution_outcomes(t.spark, texts_of)
     rolled = evaluation.eval_rollup(evaluation.evaluate_pairs(pairs, outcomes))
     means = ("execution_accuracy", "validity_rate", "avg_bleu")
     return rolled.withColumns({c: F.round(c, 6) for c in means})

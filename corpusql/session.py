@@ -23,6 +23,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Candidates that run side by side share the cluster, whatever one of them asks for.
+        .config("spark.scheduler.mode", "FAIR")
         # Streaming state (ids seen, latest feedback) outgrows the heap.
         .config(
             "spark.sql.streaming.stateStore.providerClass",
