@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import MapType, StructType
 
 from corpusql.functions.vectors import cosine_distance
+from corpusql.operators import pivots
 from corpusql.operators.sizing import broadcast_if_small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOP_K = 5
 BLOCK_ROWS = 2048
+#: A registry up to this size is sent to the tasks as a whole.
+FIT_BYTES = 64 << 20
+#: Distances that are worked out at a time.
+CELLS = 8_000_000
 # Distances are ranked at this precision, so that equal vectors tie.
 RANK_DIGITS = 9
 # Distances that are numbers come first, then those of zero vectors, then unknown ones.
@@ -45,20 +51,29 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
         return matrix / norms
 
 
-def _nearest_in_block(k: int):
-    """Local top k of one block of questions against one block of tables."""
+class Tables:
+    """Tables of one schema or block, ready to be searched; ties go to the first name, then row."""
 
-    def nearest(questions: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-        if questions.empty or tables.empty:
-            return pd.DataFrame()
+    def __init__(self, tables: pd.DataFrame):
         tables = tables.sort_values(["table_name", "row_key"], kind="stable")
+        self.names = tables["table_name"].to_numpy()
+        self.keys = tables["row_key"].to_numpy()
+        self.known = tables["t_vec"].notna().to_numpy()
+        self.unit = _unit_rows(tables["t_vec"][self.known]) if self.known.any() else None
+
+    def nearest(self, questions: pd.DataFrame, k: int) -> pd.DataFrame:
+        """The ``k`` nearest of each question, nearest first; memory for ``CELLS`` distances."""
+        step = max(1, CELLS // max(1, len(self.names)))
+        parts = [self._nearest(questions.iloc[at : at + step], k) for at in range(0, len(questions), step)]
+        return pd.concat(parts, ignore_index=True)
+
+    def _nearest(self, questions: pd.DataFrame, k: int) -> pd.DataFrame:
         q_ok = questions["q_vec"].notna().to_numpy()
-        t_ok = tables["t_vec"].notna().to_numpy()
-        dist = np.full((len(questions), len(tables)), np.nan)
-        if q_ok.any() and t_ok.any():
-            cos = _unit_rows(questions["q_vec"][q_ok]) @ _unit_rows(tables["t_vec"][t_ok]).T
-            dist[np.ix_(q_ok, t_ok)] = np.round(1.0 - cos, RANK_DIGITS) + 0.0  # no negative zero
-        known = q_ok[:, None] & t_ok[None, :]
+        dist = np.full((len(questions), len(self.names)), np.nan)
+        if q_ok.any() and self.unit is not None:
+            cos = _unit_rows(questions["q_vec"][q_ok]) @ self.unit.T
+            dist[np.ix_(q_ok, self.known)] = np.round(1.0 - cos, RANK_DIGITS) + 0.0  # no negative zero
+        known = q_ok[:, None] & self.known[None, :]
         kind = np.where(~known, MISSING, np.where(np.isnan(dist), UNDEFINED, NUMBER))
         # Candidates are all tables no farther than the k-th number, ties included;
         # only they are ordered: kind, distance, then name and row.
@@ -67,27 +82,14 @@ def _nearest_in_block(k: int):
         row, col = np.nonzero(key <= bound)
         order = np.lexsort((col, dist[row, col], kind[row, col], row))
         row, col = row[order], col[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, col = row[first], col[first]
-        return pd.DataFrame(
-            {
-                "question_id": questions["question_id"].to_numpy()[row],
-                "table_name": tables["table_name"].to_numpy()[col],
-                "row_key": tables["row_key"].to_numpy()[col],
-                "distance": dist[row, col],
-                "kind": kind[row, col],
-            }
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, place = row[place < k], col[place < k], place[place < k]
+        found = questions.drop(columns=["q_vec"]).iloc[row].reset_index(drop=True)
+        return found.assign(
+            table_name=self.names[col], row_key=self.keys[col], distance=dist[row, col],
+            kind=kind[row, col].astype("int32"), rank=(place + 1).astype("int32"),
         )
 
-    return nearest
-
-
-def _blocks(df: DataFrame, block_rows: int, name: str) -> DataFrame:
-    """Blocks each schema needs to keep a block near ``block_rows`` rows."""
-    return df.groupBy("schema_name").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)
-    )
-
 
 def with_row_key(registry: DataFrame) -> DataFrame:
     """``registry`` with ``row_key``, a hash of the whole row: nothing else names a row for sure."""
@@ -103,9 +105,18 @@ def vector_topk(
     registry: DataFrame,
     k: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    fit_bytes: int = FIT_BYTES,
 ) -> DataFrame:
     """question_id, rank, table_name and distance; see ``ranked_rows``."""
-    return ranked_rows(questions, with_row_key(registry), k, block_rows).drop("row_key")
+    ranked = ranked_rows(questions.select("question_id", "schema_name", "embedding"),
+                         with_row_key(registry), k, block_rows, fit_bytes)
+    return ranked.select("question_id", "rank", "table_name", "distance")
+
+
+def fits(registry: DataFrame, most: int = FIT_BYTES) -> bool:
+    """Whether what retrieval needs of the registry takes at most ``most`` bytes in a task."""
+    size = 8 * F.coalesce(F.size("embedding"), F.lit(0)) + F.coalesce(F.octet_length("table_name"), F.lit(0)) + 64
+    return (registry.agg(F.sum(size)).first()[0] or 0) <= most
 
 
 def ranked_rows(
@@ -113,64 +124,48 @@ def ranked_rows(
     registry: DataFrame,
     k: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    fit_bytes: int = FIT_BYTES,
 ) -> DataFrame:
-    """The ``k`` nearest tables of its own schema for every question.
+    """The ``k`` nearest tables of its own schema for every question, and all its other columns.
 
-    The scan is exact. Questions and tables of a schema are hashed into blocks of
-    bounded size and every pair of blocks is one task's matrix product, so a
-    schema with a third of all rows spreads over many tasks. A task hands on
-    ``k`` rows per question, never all pairs. Rows are told apart by ``row_key``, as a
-    table name may repeat.
+    Both ways are exact. A registry of at most ``fit_bytes`` goes to every task, and the
+    questions are searched where they are: no exchange. A larger one is cut into blocks
+    around pivots, see ``operators/pivots.py``. Rows are told apart by ``row_key``, as a table
+    name may repeat; question_id must not.
     """
     k = k or TOP_K
-    counts = _blocks(questions, block_rows, "q_blocks").join(
-        _blocks(registry, block_rows, "t_blocks"), "schema_name"
+    asked = questions.withColumn("q_vec", F.col("embedding").cast("array<double>")).drop("embedding")
+    tables = registry.select(
+        "schema_name", "table_name", "row_key", F.col("embedding").cast("array<double>").alias("t_vec")
     )
-    counts = broadcast_if_small(counts)
-    # Renamed per side, so that both may come from one table.
-    schema = F.col("schema_name").alias("_schema")
-
-    def spread(df: DataFrame, key: str, own: str, other: str, own_count: str, other_count: str):
-        return (
-            df.join(counts, F.col("_schema") == F.col("schema_name"))
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-            .drop("schema_name", "q_blocks", "t_blocks")
-        )
+    if fits(registry, fit_bytes):
+        ranked = _ranked_in_place(asked, tables, k)
+    else:
+        ranked = pivots.ranked(asked.select("question_id", "schema_name", "q_vec"), tables, k, block_rows)
+        ranked = asked.drop("q_vec").join(ranked, "question_id")
+    return ranked.withColumn(
+        "distance",  # Arrow hands NaN over as null, so it is set again here.
+        F.when(F.col("kind") == NUMBER, F.col("distance"))
+        .when(F.col("kind") == UNDEFINED, F.lit(float("nan"))),
+    ).drop("kind")
 
-    q = spread(
-        questions.select(schema, "question_id", F.col("embedding").alias("q_vec")),
-        "question_id", "qb", "tb", "q_blocks", "t_blocks",
-    )
-    t = spread(
-        registry.select(schema, "table_name", "row_key", F.col("embedding").alias("t_vec")),
-        "row_key", "tb", "qb", "t_blocks", "q_blocks",
-    )
-    cell = ["_schema", "qb", "tb"]
-    id_type = questions.schema["question_id"].dataType.simpleString()
-    local = (
-        q.groupBy(*cell)
-        .cogroup(t.groupBy(*cell))
-        .applyInPandas(
-            _nearest_in_block(k),
-            f"question_id {id_type}, table_name string, row_key bigint, distance double, kind int",
-        )
-    )
-    best = Window.partitionBy("question_id").orderBy("kind", "distance", "table_name", "row_key")
-    return (
-        local.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select(
-            "question_id",
-            "rank",
-            "table_name",
-            "row_key",
-            # Arrow hands NaN over as null, so it is set again here.
-            F.when(F.col("kind") == NUMBER, F.col("distance"))
-            .when(F.col("kind") == UNDEFINED, F.lit(float("nan")))
-            .alias("distance"),
-        )
-    )
+
+RANKED = "table_name string, row_key bigint, distance double, kind int, rank int"
+
+
+def _ranked_in_place(questions: DataFrame, tables: DataFrame, k: int) -> DataFrame:
+    held = {name: Tables(own) for name, own in tables.toPandas().groupby("schema_name")}
+    sent = questions.sparkSession.sparkContext.broadcast(held)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for batch in batches:
+            for name, own in batch.groupby("schema_name"):
+                if name in known:
+                    yield known[name].nearest(own, k)
+
+    kept = questions.drop("q_vec").schema
+    return questions.mapInPandas(search, StructType([*kept.fields, *StructType.fromDDL(RANKED).fields]))
 
 
 def schema_not_found(questions: DataFrame, registry: DataFrame) -> DataFrame:
@@ -180,13 +175,12 @@ def schema_not_found(questions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def retrieval_batch(
-    questions: DataFrame, registry: DataFrame, k: int | None = None
+    questions: DataFrame, registry: DataFrame, k: int | None = None, fit_bytes: int = FIT_BYTES
 ) -> DataFrame:
     """Ranked registry rows per question, ready for prompt building."""
     keyed = with_row_key(registry)
-    ranked = ranked_rows(questions, keyed, k)
+    asked = questions.select("question_id", "schema_name", "question", "embedding")
+    ranked = ranked_rows(asked, keyed, k, fit_bytes=fit_bytes)
     # Rows equal in every column have one key and, ranked each, the same content.
     tables = keyed.drop("embedding").dropDuplicates(["row_key"])
-    asked = questions.select("question_id", "schema_name", "question")
-    joined = ranked.join(asked, "question_id").join(tables, ["schema_name", "table_name", "row_key"])
-    return joined.drop("row_key")
+    return ranked.join(tables, ["schema_name", "table_name", "row_key"]).drop("row_key")

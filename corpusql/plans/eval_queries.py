@@ -323,9 +323,10 @@ def _(t: Inputs) -> DataFrame:
     ORDER BY distance NULLS LAST, table_name LIMIT 5""",
 )
 def _(t: Inputs) -> DataFrame:
-    # The one question asked is a single vector.
-    asked = t("v_questions").where("question_id = 7").select("embedding").first()["embedding"]
-    nearest = retrieval.retrieve_tables(t("v_registry"), "schema_1", F.lit(asked).cast("array<double>"))
+    # The one question asked is a single vector; a table without it gives no rows.
+    asked = t("v_questions").where("question_id = 7").groupBy().agg(F.first("embedding").alias("asked"))
+    vector = asked.select(F.col("asked").cast("array<double>")).scalar()
+    nearest = retrieval.retrieve_tables(t("v_registry"), "schema_1", vector)
     return nearest.select("table_name", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 

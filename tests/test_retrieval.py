@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusql.functions.vectors import cosine_distance, embed_input
-from corpusql.operators import retrieval
+from corpusql.operators import pivots, retrieval
 from corpusql.operators.retrieval import retrieval_batch
 from corpusql.plans.flows import answer_questions
 
@@ -69,6 +69,44 @@ def test_topk_is_exact(spark, data, k, block):
         assert got.get(q[0], []) == nearest(q, tables, k or 5), q
 
 
+@pytest.mark.parametrize("k,block", [(5, 7), (3, 2048), (None, 1), (500, 16)])
+def test_large_registries_give_the_same_rows(spark, data, k, block):
+    tables, questions = data
+    registry, asked = frames(spark, data)
+    got = {}
+    rows = retrieval.vector_topk(asked, registry, k, block, fit_bytes=0).orderBy("question_id", "rank").collect()
+    for r in rows:
+        got.setdefault(r["question_id"], []).append(r["table_name"])
+    for q in questions:
+        assert got.get(q[0], []) == nearest(q, tables, k or 5), q
+
+
+def test_blocks_of_clusters_are_skipped(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    vec = lambda: [float(x) for x in centres[rng.integers(30)] + 0.05 * rng.normal(size=16)]
+    tables = spark.createDataFrame(
+        [("one", f"t{i}", i, vec()) for i in range(3000)], "schema_name string, table_name string, row_key bigint, t_vec array<double>"
+    )
+    asked = spark.createDataFrame([(i, "one", vec()) for i in range(200)], "question_id int, schema_name string, q_vec array<double>")
+    report = {}
+    found = pivots.ranked(asked, tables, 5, 50, report)
+    plain = retrieval._ranked_in_place(asked, tables, 5)
+    rows = lambda df: sorted((r.question_id, r.rank, r.table_name) for r in df.collect())
+    assert rows(found) == rows(plain) and len(rows(found)) == 1000
+    print("visited", report)
+    assert report["visited"] < 0.35 * report["pairs"]
+
+
+def test_a_small_registry_needs_no_exchange(spark, data):
+    registry, asked = frames(spark, data)
+    ranked = retrieval.vector_topk(asked, registry)
+    ranked.collect()
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.vector_topk(asked, registry.limit(0)).count() == 0
+    assert retrieval.vector_topk(asked, registry.limit(0), fit_bytes=-1).count() == 0
+
+
 def test_one_question(spark, data):
     registry, _ = frames(spark, data)
     vector = [1.0, -1.0, 0.5, 2.0]
