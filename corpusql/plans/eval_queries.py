@@ -323,10 +323,12 @@ def _(t: Inputs) -> DataFrame:
     ORDER BY distance NULLS LAST, table_name LIMIT 5""",
 )
 def _(t: Inputs) -> DataFrame:
-    # The one question asked is a single vector; a table without it gives no rows.
-    asked = t("v_questions").where("question_id = 7").groupBy().agg(F.first("embedding").alias("asked"))
-    vector = asked.select(F.col("asked").cast("array<double>")).scalar()
-    nearest = retrieval.retrieve_tables(t("v_registry"), "schema_1", vector)
+    # The one question asked is a single vector, null where there is none.
+    asked = t("v_questions").where("question_id = 7").groupBy().agg(
+        F.lit("schema_1").alias("schema_name"), F.first("embedding").cast("array<double>").alias("asked")
+    )
+    registry = t("v_registry").join(asked, "schema_name")
+    nearest = retrieval.retrieve_tables(registry, "schema_1", F.col("asked"))
     return nearest.select("table_name", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
