@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.operators import ranking
+from corpusql.operators import ranking, scan
 from corpusql.plans.registry import named
 from corpusql.plans.views import Inputs
 
@@ -378,23 +378,18 @@ def _(t: Inputs) -> DataFrame:
 # --- windows ------------------------------------------------------------------
 
 
-def _day_number(column: str) -> Column:
-    return F.datediff(column, F.lit("1970-01-01").cast("date"))
-
-
 @named(
     "win_row_number",
     """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey
       ORDER BY o_orderdate, o_orderkey) AS rn FROM orders""",
 )
 def _(t: Inputs) -> DataFrame:
-    rows = ranking.row_numbers(
+    rows = scan.scanned(
         t("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
         ["o_custkey"],
         [F.col("o_orderdate"), F.col("o_orderkey")],
-        _day_number("o_orderdate"),
     )
-    return rows.select("o_orderkey", "o_custkey", F.col("rn").cast("bigint").alias("rn"))
+    return rows.select("o_orderkey", "o_custkey", F.col("row_number").alias("rn"))
 
 
 @named(
@@ -403,12 +398,11 @@ def _(t: Inputs) -> DataFrame:
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
 )
 def _(t: Inputs) -> DataFrame:
-    rows = ranking.neighbours(
+    rows = scan.scanned(
         t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
         ["o_custkey"],
-        ["o_orderdate", "o_orderkey"],
-        "o_totalprice",
-        _day_number("o_orderdate"),
+        [F.col("o_orderdate"), F.col("o_orderkey")],
+        value="o_totalprice",
     )
     return rows.select("o_orderkey", "prev", "next")
 
@@ -419,21 +413,13 @@ def _(t: Inputs) -> DataFrame:
     FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC)""",
 )
 def _(t: Inputs) -> DataFrame:
-    rows = ranking.ranks(
+    rows = scan.scanned(
         t("part").select("p_partkey", "p_brand", "p_size"),
         ["p_brand"],
-        F.col("p_size").desc(),
-        "p_size",
-        -F.col("p_size"),
+        [F.col("p_size").desc()],
+        F.col("p_size"),
     )
-    return rows.select(
-        "p_partkey",
-        F.col("rank").cast("bigint").alias("rank"),
-        F.col("dense_rank").cast("bigint").alias("dense_rank"),
-    )
-
-
-# --- top and sort -------------------------------------------------------------
+    return rows.select("p_partkey", "rank", "dense_rank")
 
 
 @named(
