@@ -11,7 +11,8 @@ from corpusql.functions.vectors import dot, embed_input
 from corpusql.operators import corpus, planning, split, training
 from corpusql.plans.registry import named
 from corpusql.plans.views import Inputs
-from corpusql.sources.corpus import read_corpus, split_ddl, write_corpus, write_evaluation
+from corpusql.sources.corpus import publish_evaluation, read_corpus, split_ddl, write_corpus
+from corpusql.sources.versions import VersionedTable
 from corpusql.sources.workspace import fresh_path
 
 PAIR_COLUMNS = "pair_id, schema_name, complexity, question, chain_of_thought, sql, generated_at"
@@ -115,13 +116,13 @@ def _(t: Inputs) -> DataFrame:
     WHERE NOT ({EXISTING.replace('schema_name', 'p.schema_name')})""",
 )
 def _(t: Inputs) -> DataFrame:
-    path = fresh_path(t.spark, "resume")
+    corpus = VersionedTable(t.spark, fresh_path(t.spark, "resume"))
     columns = ["pair_id", "schema_name", "origin"]
-    old = _existing(t).withColumn("origin", F.lit("existing")).select(*columns)
-    old.write.parquet(path)
-    new = planning.resume_append(_existing(t), _new(t), RESUME_TOTAL)
-    new.withColumn("origin", F.lit("new")).select(*columns).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    corpus.append(_existing(t).withColumn("origin", F.lit("existing")).select(*columns), "first run")
+    for _ in range(2):  # a run that is repeated adds nothing
+        new = planning.resume_append(_existing(t), _new(t), RESUME_TOTAL)
+        corpus.append(new.withColumn("origin", F.lit("new")).select(*columns), "second run")
+    return corpus.read()
 
 
 @named(
@@ -142,10 +143,11 @@ def _(t: Inputs) -> DataFrame:
     "round(sum(bleu), 3) AS bleu FROM v_eval GROUP BY 2",
 )
 def _(t: Inputs) -> DataFrame:
-    path = fresh_path(t.spark, "evaluations")
-    write_evaluation(t("v_eval"), path, "nightly")
+    table = VersionedTable(t.spark, fresh_path(t.spark, "evaluations"), "json", ignoreNullFields="false")
+    for _ in range(2):  # a run that is repeated adds nothing
+        publish_evaluation(table, t("v_eval"), "nightly")
     return (
-        t.spark.read.schema("schema_name string, bleu double, error string, run_name string").json(path)
+        table.read()
         .groupBy("run_name", "schema_name")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -12,7 +12,8 @@ from corpusql.plans.corpus_queries import ENRICHED, template_oracle, with_sample
 from corpusql.plans.flows import answer_questions, register_schema
 from corpusql.plans.registry import named
 from corpusql.plans.views import Inputs
-from corpusql.sources.tables import append_log, replace_schema, write_registry
+from corpusql.sources.tables import publish_log
+from corpusql.sources.versions import VersionedTable
 from corpusql.sources.workspace import fresh_path
 from corpusql.streaming import jobs
 
@@ -382,16 +383,18 @@ def _(t: Inputs) -> DataFrame:
       WHERE schema_name = 'schema_2'""",
 )
 def _(t: Inputs) -> DataFrame:
-    current, target = fresh_path(t.spark, "registry"), fresh_path(t.spark, "registry")
+    table = VersionedTable(t.spark, fresh_path(t.spark, "registry"))
     registry = t("v_registry").select("schema_name", "table_name", "ddl", "embedding")
-    write_registry(registry, current)
+    table.create(registry, "schema_name", "first load")
     tables = registry.where(F.col("schema_name") == "schema_2").select(
+        F.lit("schema_1").alias("schema_name"),
         F.concat(F.lit("new_"), "table_name").alias("table_name"),
         F.trim("ddl").alias("ddl"),
         "embedding",
     )
-    replace_schema(t.spark, current, target, "schema_1", tables)
-    return t.spark.read.parquet(target).select("schema_name", "table_name", "ddl")
+    for _ in range(2):  # one schema is written, once
+        table.replace("schema_1", tables, "new schema_1")
+    return table.read().select("schema_name", "table_name", "ddl")
 
 
 @named(
@@ -423,9 +426,10 @@ def _(t: Inputs) -> DataFrame:
       nullif(substr(execution_error, 1, 500), '') AS execution_error FROM v_query_log""",
 )
 def _(t: Inputs) -> DataFrame:
-    path = fresh_path(t.spark, "log")
-    append_log(t("v_query_log"), path)
-    return t.spark.read.parquet(path).select(
+    table = VersionedTable(t.spark, fresh_path(t.spark, "log"))
+    for _ in range(2):  # a job that runs again adds nothing
+        publish_log(table, t("v_query_log"), "nightly")
+    return table.read().select(
         "query_id", "schema_name", "dialect", "correction_attempts", "execution_error"
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import (
 )
 
 from corpusql.sources.schemas import PAIR
+from corpusql.sources.versions import VersionedTable
 
 _AS_TEXT = (
     BinaryType,
@@ -63,3 +64,11 @@ def write_evaluation(rows: DataFrame, root: str, run_name: str) -> None:
     stamped.write.mode("append").partitionBy("run_name").option(
         "ignoreNullFields", "false"
     ).json(root)
+
+
+def publish_evaluation(table: VersionedTable, rows: DataFrame, run_name: str) -> None:
+    """Detailed evaluation rows of a run, all of them or none; a run published before is not again."""
+    stamped = rows.withColumns(
+        {"run_name": F.lit(run_name), "evaluated_at": F.current_timestamp().cast("string")}
+    )
+    table.append(stamped, run_name)

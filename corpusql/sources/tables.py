@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.operators.querylog import log_rows, registry_replace
+from corpusql.sources.versions import VersionedTable
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
@@ -23,5 +24,6 @@ def append_log(entries: DataFrame, path: str) -> None:
     log_rows(entries).write.mode("append").parquet(path)
 
 
-def append_feedback(feedback: DataFrame, path: str) -> None:
-    feedback.write.mode("append").parquet(path)
+def publish_log(table: VersionedTable, entries: DataFrame, job: str) -> None:
+    """Log entries of a job, all of them or none; a job published before is not again."""
+    table.append(log_rows(entries), job)
