@@ -31,20 +31,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _table(df, name, "snappy")
 
 
-def work_table(df: DataFrame, name: str) -> DataFrame:
+#: Rows that go to Python, and come back, at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def work_table(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """As ``written``, for large tables between steps: packed harder, and the shuffle files behind
     it are given up at once. It lives until ``discard`` or the end of the application.
+
+    ``batch`` bounds the rows of an Arrow batch while it is made, for rows that may be large.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
     try:
         return _table(df, name, "zstd")
     finally:
-        if before is None:
-            conf.unset(CLEANUP)
-        else:
-            conf.set(CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                conf.unset(key)
+            else:
+                conf.set(key, value)
 
 
 def _table(df: DataFrame, name: str, codec: str) -> DataFrame:
