@@ -324,12 +324,11 @@ def _(t: Inputs) -> DataFrame:
     ORDER BY distance NULLS LAST, table_name LIMIT 5""",
 )
 def _(t: Inputs) -> DataFrame:
-    # The one question asked is a single vector, null where there is none.
-    asked = t("v_questions").where("question_id = 7").groupBy().agg(
-        F.lit("schema_1").alias("schema_name"), F.first("embedding").cast("array<double>").alias("asked")
+    # The one question asked stays a table of one row; none gives no rows.
+    asked = t("v_questions").where("question_id = 7").select(
+        "question_id", F.lit("schema_1").alias("schema_name"), "embedding"
     )
-    registry = t("v_registry").join(asked, "schema_name")
-    nearest = retrieval.retrieve_tables(registry, "schema_1", F.col("asked"))
+    nearest = retrieval.vector_topk(asked, t("v_registry").where("schema_name = 'schema_1'"))
     return nearest.select("table_name", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
