@@ -155,14 +155,13 @@ RANKED = "table_name string, row_key bigint, distance double, kind int, rank int
 
 def _ranked_in_place(questions: DataFrame, tables: DataFrame, k: int) -> DataFrame:
     held = {name: Tables(own) for name, own in tables.toPandas().groupby("schema_name")}
-    sent = questions.sparkSession.sparkContext.broadcast(held)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
+        # The function carries the tables, by value; Spark broadcasts functions beyond 1 MB.
         for batch in batches:
             for name, own in batch.groupby("schema_name"):
-                if name in known:
-                    yield known[name].nearest(own, k)
+                if name in held:
+                    yield held[name].nearest(own, k)
 
     kept = questions.drop("q_vec").schema
     return questions.mapInPandas(search, StructType([*kept.fields, *StructType.fromDDL(RANKED).fields]))
