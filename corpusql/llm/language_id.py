@@ -42,9 +42,10 @@ def _letter_codes() -> np.ndarray:
     """Code of every character: its small letter, or 0 for what is no letter."""
     table = np.zeros(0x110000, "i4")
     for c in range(OWN):
-        low = chr(c).lower()
-        if len(low) == 1 and low.isalpha():
-            table[c] = ord(low) if ord(low) < OWN else OWN + ord(low) % SHARED
+        # A small form of two characters (İ) counts as its first.
+        low = ord(chr(c).lower()[0])
+        if chr(c).isalpha():
+            table[c] = low if low < OWN else OWN + low % SHARED
     rest = np.arange(OWN, 0x110000)
     table[OWN:] = OWN + rest % SHARED
     return table

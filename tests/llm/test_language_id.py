@@ -14,6 +14,17 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_every_letter_is_one():
+    space = Space()
+    letters = [c for c in range(0x110000) if chr(c).isalpha()]
+    others = [c for c in range(0x30000) if not chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 50):
+        assert len(space.grams(" ".join(map(chr, letters[at : at + 50])))) > 0
+    assert all(len(space.grams(chr(c))) for c in letters if c < 0x3000)
+    assert not len(space.grams("".join(map(chr, others))))
+    assert np.array_equal(space.grams("İz"), space.grams("iz"))
+
+
 def test_grams_by_hand_and_across_blocks():
     space = Space()
     code = lambda s: sum((ord(c) if c != " " else 0) * CODES ** (2 - i) for i, c in enumerate(s))
