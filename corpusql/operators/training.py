@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusql.functions.prompts import training_prompt
 from corpusql.functions.scoring import tokens
+from corpusql.operators.vocabulary import MIN_COUNT, encoded, token_dictionary
 
 # Fixed values.
 MAX_LENGTH = 512
@@ -66,21 +67,39 @@ def training_counts(
     )
 
 
+def record_dictionary(
+    pairs: DataFrame,
+    ddl: str = "schema_ddl",
+    question: str = "question",
+    answer: str = "sql",
+    min_count: int = MIN_COUNT,
+) -> DataFrame:
+    """Dense ids by frequency for the tokens of whole prompts and answers."""
+    texts = _token_columns(pairs, ddl, question, answer)
+    return token_dictionary(texts.select(F.concat("_prompt", "_answer").alias("tokens")), "tokens", min_count)
+
+
 def training_records(
     pairs: DataFrame,
     ddl: str = "schema_ddl",
     question: str = "question",
     answer: str = "sql",
     max_length: int = MAX_LENGTH,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
-    """``input_ids``, ``attention_mask`` and ``labels``, each ``max_length`` long."""
+    """``input_ids``, ``attention_mask`` and ``labels``, each ``max_length`` long.
+
+    With a ``dictionary`` (token, id) no two tokens share an id; without one ids are hashes.
+    """
     prompt = F.slice(F.col("_prompt"), 1, max_length)
     kept = F.slice(F.concat("_prompt", "_answer"), 1, max_length)
     cut = _token_columns(pairs, ddl, question, answer).select(
         *pairs.columns,
         F.size(prompt).alias("_p"),
-        token_ids(kept).alias("_ids"),
+        (token_ids(kept) if dictionary is None else kept).alias("_ids"),
     )
+    if dictionary is not None:
+        cut = encoded(cut.withColumnRenamed("_ids", "_kept"), "_kept", dictionary, "_ids")
     used = F.size("_ids")
     pad = F.lit(max_length) - used
     return cut.select(

@@ -747,6 +747,44 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+_DICTIONARY = _RECORDS + """, dictionary AS (
+    SELECT token, n, 1 + row_number() OVER (ORDER BY n DESC, token) AS id
+    FROM (SELECT token, count(*) AS n FROM (SELECT unnest(list_concat(p, a)) AS token FROM toks)
+      GROUP BY 1 HAVING count(*) >= 2))"""
+
+
+def _dictionary(t: Inputs) -> DataFrame:
+    path = fresh_path(t.spark, "dictionary")
+    training.record_dictionary(_turns(t), answer="answer").write.parquet(path)
+    return t.spark.read.schema("token string, n long, id long").parquet(path)
+
+
+@named("token_dictionary", _DICTIONARY + " SELECT token, n, id FROM dictionary")
+def _(t: Inputs) -> DataFrame:
+    return _dictionary(t)
+
+
+@named(
+    "training_records_dense",
+    _DICTIONARY + """, kept AS (
+      SELECT row_number() OVER () AS r, conv_id, turn, least(len(p), 512) AS pl,
+        list_concat(p, a)[:512] AS w FROM toks),
+    placed AS (SELECT r, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS place FROM kept),
+    found AS (
+      SELECT r, list(coalesce(id, 1) ORDER BY place) AS k
+      FROM placed LEFT JOIN dictionary USING (token) GROUP BY r)
+    SELECT conv_id, turn, array_to_string(list_resize(k, 512, 0), ' ') AS input_ids,
+      array_to_string(list_resize(list_transform(range(1, len(k) + 1),
+        lambda i: CASE WHEN i <= pl THEN -100 ELSE k[i] END), 512, -100), ' ') AS labels
+    FROM kept JOIN found USING (r)""",
+)
+def _(t: Inputs) -> DataFrame:
+    records = training.training_records(_turns(t), answer="answer", dictionary=_dictionary(t))
+    return records.select(
+        "conv_id", "turn", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "labels")],
+    )
+
+
 @named(
     "rate_dead_records",
     _RECORDS + """SELECT turn, count(*) AS records,
