@@ -731,6 +731,7 @@ def _(t: Inputs) -> DataFrame:
         given.alias("feedback"), F.col("ts").alias("submitted_at"),
     )
     path, checkpoint = fresh_path(t.spark, "feedback"), fresh_path(t.spark, "feedback-checkpoint")
-    jobs.stream_feedback(feedback, path, checkpoint, available_now=True).awaitTermination()
-    view = jobs.feedback_view(t("v_query_log"), t.spark.read.parquet(path))
+    table = VersionedTable(t.spark, path)
+    jobs.stream_feedback_table(feedback, table, checkpoint, available_now=True).awaitTermination()
+    view = jobs.feedback_view(t("v_query_log"), table.read())
     return view.select("query_id", "question", "user_feedback")

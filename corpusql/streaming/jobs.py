@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusql.operators.querylog import filter_failures, filter_feedback
 from corpusql.operators.ranking import HOT_ROWS, row_numbers
+from corpusql.sources.versions import Conflict, VersionedTable
 
 # Seconds and counts.
 METRIC_PERIOD = 300
@@ -23,6 +24,9 @@ BATCH_SECONDS = 60
 RETENTION = 86_400
 REDELIVERY = 300
 
+#: Epochs of feedback beside the base before they are folded into it.
+FEEDBACK_CHANGES = 20
+
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A parquet table as a stream, whether it is one file or a folder of files."""
@@ -159,10 +163,47 @@ def stream_feedback(
     return run_to_table(stream_accepted_feedback(feedback), changes_path, checkpoint, available_now)
 
 
-def compact_feedback(changes: DataFrame, path: str) -> None:
-    """The last verdict of each query as a table of its own, to read instead of all changes."""
+def newest_feedback(changes: DataFrame) -> DataFrame:
+    """The last verdict of each query with its version; folding folded rows again changes nothing."""
     last = F.max_by(F.struct("user_feedback", "version"), "version").alias("last")
-    changes.groupBy("query_id").agg(last).select("query_id", "last.*").write.parquet(path)
+    return changes.groupBy("query_id").agg(last).select("query_id", "last.*")
+
+
+def _last_epochs(jobs: list[str]) -> list[str]:
+    """Of job ids ``stream/epoch`` the last epoch of each stream."""
+    last: dict[str, int] = {}
+    for job in jobs:
+        name, _, epoch = job.rpartition("/")
+        last[name] = max(last.get(name, -1), int(epoch))
+    return [f"{name}/{epoch}" for name, epoch in last.items()]
+
+
+def stream_feedback_table(
+    feedback: DataFrame, table: VersionedTable, checkpoint: str, name: str = "feedback",
+    changes: int = FEEDBACK_CHANGES, available_now: bool = False,
+) -> StreamingQuery:
+    """Accepted verdicts into a versioned table: a base and the changes of at most ``changes`` epochs.
+
+    Each epoch adds its newest verdicts; then base and changes are folded into a new base, which one
+    commit swaps for them. So ``feedback_view`` over ``table.read()`` folds what is after the base
+    and one row for each query before it, however long the stream has run. ``name`` tells the
+    streams of a table apart; an epoch that is run again adds nothing.
+    """
+
+    def run(epoch_rows: DataFrame, epoch: int) -> None:
+        known = [j for j in table.version().jobs if j.rpartition("/")[0] == name]
+        if all(int(j.rpartition("/")[2]) < epoch for j in known):
+            table.append(newest_feedback(epoch_rows), f"{name}/{epoch}")
+        if len(table.version().folders) > changes:
+            try:
+                table.compact(newest_feedback, _last_epochs)
+            except Conflict:
+                pass  # another stream's compaction was faster; the next epoch looks again
+
+    writer = stream_accepted_feedback(feedback).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
 
 
 def feedback_view(log: DataFrame, changes: DataFrame) -> DataFrame:

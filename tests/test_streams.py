@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from corpusql.sources.versions import Conflict, VersionedTable
 from corpusql.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -94,6 +95,56 @@ def test_feedback_stream_over_epochs(spark, tmp_path):
     assert got == {1: -1, 2: -1, 3: None, 4: None}
 
 
+def test_feedback_table_is_a_base_and_the_last_changes(spark, tmp_path):
+    folder, path = str(tmp_path / "messages.parquet"), str(tmp_path / "table")
+    schema = "feedback_id bigint, query_id bigint, feedback int, submitted_at timestamp"
+    table, log = VersionedTable(spark, path), spark.range(8).withColumnRenamed("id", "query_id")
+    want, sizes = {}, []
+    for epoch in range(7):
+        rows = [(10 * epoch + q, q, 1 if (epoch + q) % 2 else -1, T0 + timedelta(hours=epoch * q)) for q in range(6)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        # One stream object a turn: each is a restart from the checkpoint.
+        jobs.stream_feedback_table(
+            stream(spark, folder), table, str(tmp_path / "check"), changes=3, available_now=True
+        ).awaitTermination()
+        want |= {q: f for _, q, f, _ in rows}
+        now = table.version()
+        sizes.append((len(now.folders), table.read().count()))
+        got = {r.query_id: r.user_feedback for r in jobs.feedback_view(log, table.read()).collect()}
+        assert got == {q: want.get(q) for q in range(8)}
+    # After the fourth and the seventh epoch there is one folder, with a row for each query.
+    assert sizes == [(1, 6), (2, 12), (3, 18), (1, 6), (2, 12), (3, 18), (1, 6)]
+    assert table.version().jobs == ["feedback/6"]
+
+    # All epochs again, as after a lost checkpoint log: they are known and change nothing.
+    before = table.version().number
+    jobs.stream_feedback_table(
+        stream(spark, folder), table, str(tmp_path / "again"), available_now=True
+    ).awaitTermination()
+    assert table.version().number == before
+
+
+def test_compaction_keeps_what_is_added_meanwhile(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "table"))
+    table.append(spark.range(3), "s/0")
+
+    def slow(rows):
+        table.append(spark.range(10, 12), "s/1")
+        return rows.where("id > 0")
+
+    table.compact(slow)
+    assert sorted(r.id for r in table.read().collect()) == [1, 2, 10, 11]
+    assert table.version().jobs == ["s/0", "s/1"]
+
+    def beaten(rows):
+        table.compact(lambda r: r)
+        return rows
+
+    with pytest.raises(Conflict):
+        table.compact(beaten)
+    assert table.read().count() == 4
+
+
 def test_dedupe_keeps_late_rows(spark, tmp_path):
     # One file a batch, the third an hour behind the first two.
     folder = str(tmp_path / "messages.parquet")
