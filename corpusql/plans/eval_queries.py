@@ -668,6 +668,29 @@ def _(t: Inputs) -> DataFrame:
     return _finish(t, kept, "retention").select("event_id", "event_type")
 
 
+#: Events come in three deliveries; a tenth of all times comes last.
+_DELIVERY = "CASE WHEN event_id % 10 = 0 THEN 2 WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 0 ELSE 1 END"
+
+
+@named(
+    "stream_retention_late",
+    f"""WITH dealt AS (SELECT event_id, ts, {_DELIVERY} AS delivery FROM events),
+    newest AS (SELECT delivery, max(ts) AS newest FROM dealt GROUP BY 1)
+    SELECT event_id, coalesce(ts < (SELECT max(newest) FROM newest n WHERE n.delivery < d.delivery)
+      - INTERVAL '86400 seconds', ts IS NULL) AS late FROM dealt d""",
+)
+def _(t: Inputs) -> DataFrame:
+    folder, path, checkpoint = (fresh_path(t.spark, f"retention-{n}") for n in ("in", "out", "checkpoint"))
+    events = t("events").select("event_id", "ts", F.expr(_DELIVERY).alias("delivery"))
+    for delivery in range(3):
+        # What has come by now is one epoch, from however many files.
+        events.where(F.col("delivery") == delivery).write.mode("append").parquet(f"{folder}/events.parquet")
+        stream = jobs.read_stream(t.spark, folder, "events")
+        jobs.stream_retention_split(stream, path, checkpoint, available_now=True).awaitTermination()
+    kept, late = (jobs.retained(events, path, late).withColumn("late", F.lit(late)) for late in (False, True))
+    return kept.union(late).select("event_id", "late")
+
+
 @named("stream_dedupe", "SELECT event_id, event_type, value FROM events")
 def _(t: Inputs) -> DataFrame:
     # At-least-once delivery: everything arrives twice.

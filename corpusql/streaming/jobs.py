@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from corpusql.operators.querylog import filter_failures, filter_feedback
 from corpusql.operators.ranking import HOT_ROWS, row_numbers
@@ -76,6 +77,44 @@ def stream_retention(
     )
 
 
+def stream_retention_split(
+    messages: DataFrame, path: str, checkpoint: str, time: str = "ts", seconds: int = RETENTION,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Messages by event time: those more than ``seconds`` behind the newest one of earlier epochs
+    are late, and kept apart instead of dropped; so are those without a time.
+
+    Each epoch writes its rows once and how far time has come after it, both by epoch number, so
+    one that is run again writes the same. ``retained`` reads the result.
+    """
+
+    def run(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        before = spark.read.parquet(f"{path}/newest/epoch={epoch - 1}").first().newest if epoch else None
+        at = F.col(f"message.`{time}`").cast("timestamp")
+        least = F.lit(before).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds))
+        late = F.coalesce(at < least, at.isNull())
+        written = f"{path}/rows/epoch={epoch}"
+        rows.select(F.struct("*").alias("message")).withColumn("late", late).write.mode("overwrite").partitionBy(
+            "late"
+        ).parquet(written)
+        newest = F.greatest(F.max(at), F.lit(before).cast("timestamp")).alias("newest")
+        told = spark.read.schema(StructType([StructField("message", rows.schema)])).parquet(written)
+        told.agg(newest).write.mode("overwrite").parquet(f"{path}/newest/epoch={epoch}")
+
+    writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def retained(messages: DataFrame, path: str, late: bool = False) -> DataFrame:
+    """What ``stream_retention_split`` has kept of ``messages``, or the late ones."""
+    row = StructType([StructField("message", messages.schema), StructField("late", BooleanType())])
+    rows = messages.sparkSession.read.schema(row).parquet(f"{path}/rows")
+    return rows.where(F.col("late") == late).select("message.*")
+
+
 def stream_dedupe(
     messages: DataFrame, key: str, time: str = "ts", redelivery: int = REDELIVERY,
     lateness: int = RETENTION,

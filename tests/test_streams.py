@@ -64,6 +64,33 @@ def test_retention(spark, messages, tmp_path):
     assert live.count() == 0
 
 
+def test_late_messages_are_kept_apart(spark, tmp_path):
+    folder, path = str(tmp_path / "messages.parquet"), str(tmp_path / "out")
+    schema = "query_id bigint, late string, created_at timestamp"
+    hours = [[(1, 50), (2, 10)], [(3, 60), (4, 25), (5, 26), (None, 40)], [(6, 35), (7, 36), (8, None)], []]
+
+    def deliver(check):
+        messages = stream(spark, folder)
+        jobs.stream_retention_split(messages, path, check, "created_at", available_now=True).awaitTermination()
+        return [
+            sorted((r.query_id or 0, r.late) for r in jobs.retained(messages, path, late).collect()) for late in (False, True)
+        ]
+
+    for rows in hours:
+        sent = [(i, "own", None if h is None else T0 + timedelta(hours=h)) for i, h in rows]
+        spark.createDataFrame(sent, schema).coalesce(2).write.mode("append").parquet(folder)
+        kept, late = deliver(str(tmp_path / "check"))
+    # One epoch has no earlier one to be late for; the limit itself is in time.
+    assert [i for i, _ in kept] == [0, 1, 2, 3, 5, 7] and [i for i, _ in late] == [4, 6, 8]
+    assert {own for _, own in kept + late} == {"own"}
+
+    # An epoch that dies after writing and runs again writes the same.
+    last = sorted(p.name for p in (tmp_path / "check" / "commits").glob("[0-9]*"))[-1]
+    (tmp_path / "check" / "commits" / last).rename(tmp_path / "lost")
+    (tmp_path / "check" / "commits" / f".{last}.crc").rename(tmp_path / "lost.crc")
+    assert deliver(str(tmp_path / "check")) == [kept, late]
+
+
 @pytest.mark.parametrize("hot_rows", [50, 10_000])
 def test_failure_batches(spark, hot_rows):
     minute = [(i, T0 + timedelta(seconds=(i * 7) % 60), 0.0) for i in range(430)]
