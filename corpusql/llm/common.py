@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,18 +72,6 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def by_batch(
-    df: DataFrame, job: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` under the columns named in ``schema``; the job sees only what it is given."""
-    return df.mapInArrow(job, schema)
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of an id written as text, as the held-out folds use it."""
     return F.crc32(doc_id.cast("string").cast("binary"))
-
-
-def word_array(text: Column) -> Column:
-    """The words of a text as an array, natively; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
