@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.functions import text
-from corpusql.operators.ranking import mark_within, quota_cutoffs, range_of
+from corpusql.operators.ranking import mark_within, quota_cutoffs
 
 
 def filter_missing(pairs: DataFrame) -> DataFrame:
@@ -49,9 +49,7 @@ def mark_quota(
     """
     # Judging a pair reads its text; its place is all the two passes below need.
     places = valid.select("schema_name", *arrival).persist()
-    ends = quota_cutoffs(
-        places, ["schema_name"], range_of(pairs, arrival[0]), arrival, quotas, take
-    )
+    ends = quota_cutoffs(places, ["schema_name"], None, arrival, quotas, take)
     marked = mark_within(pairs, ["schema_name"], arrival, ends, out)
     places.unpersist()
     return marked

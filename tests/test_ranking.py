@@ -77,6 +77,34 @@ def test_quota_cutoffs(spark, rows, take):
     assert got == want
 
 
+@pytest.mark.parametrize("sorted_rows", [2, 10_000])
+@pytest.mark.parametrize("take", [1, 37, 150, 10_000])
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_quota_cutoffs_by_sketch(spark, rows, take, sorted_rows, kind):
+    # One id is far from all others, some are equal or null: the id behind them parts rows.
+    far = [(r[0], r[1], 4 * 10**18 if r[0] == 5 else None if r[0] % 50 == 0 else r[2], r[3]) for r in rows]
+    df = spark.createDataFrame(far, "id bigint, k string, v bigint, x double").withColumn("v", F.col("v").cast(kind))
+    quotas = df.select("k").distinct().where("k IS NULL OR k <> 'b'").withColumn("take", F.lit(take))
+    ends = ranking.quota_cutoffs(df, ["k"], None, ["v", "id"], quotas, "take", sorted_rows)
+    got = {r["k"]: (r["_cutoff"]["v"], r["_cutoff"]["id"]) for r in ends.collect()}
+    want = {}
+    for key, group in by_key(far).items():
+        places = sorted(((r[2] is not None, r[2] or 0, r[0]), (r[2], r[0])) for r in group)
+        if key != "b":
+            want[key] = places[min(take, len(places)) - 1][1]
+    assert got == want
+
+
+def test_an_outlier_does_not_widen_what_is_sorted(spark):
+    df = spark.range(200_000).select(
+        F.lit("k").alias("k"), F.when(F.col("id") == 7, F.lit(4 * 10**18)).otherwise(F.col("id")).alias("id")
+    )
+    quotas = spark.createDataFrame([("k", 90_000)], "k string, take bigint")
+    ranged = ranking._ranges_at(df, ["k"], "id", quotas, "take")
+    last = ranking._range_at(ranged, ["k"], quotas, "take").first()
+    assert last["_range"] == 1 and last["_rows"] <= 200_000 * 7 / ranking.SKETCH_STEPS
+
+
 def test_positions(spark, rows):
     got = ranking.with_positions(frame(spark, rows), [F.col("v").desc(), F.col("id")])
     got = {r["id"]: r["position"] for r in got.collect()}
