@@ -22,9 +22,13 @@ from corpusql.sources.versions import Conflict, VersionedTable
 METRIC_PERIOD = 300
 BATCH_ROWS = 100
 BATCH_SECONDS = 60
+BATCH_LATENESS = 60
 RETENTION = 86_400
 REDELIVERY = 300
 
+#: Groups in which a minute of failures waits.
+SPREAD = 64
+
 #: Epochs of feedback beside the base before they are folded into it.
 FEEDBACK_CHANGES = 20
 
@@ -155,31 +159,62 @@ def failure_batches(
     return numbered.withColumn("batch", F.ceil(F.col("_rn") / rows)).drop("_rn")
 
 
+def closed_minutes(
+    failures: DataFrame,
+    seconds: int = BATCH_SECONDS,
+    lateness: int = BATCH_LATENESS,
+    time: str = "created_at",
+) -> DataFrame:
+    """A stream of failures in which each minute comes whole, once the watermark has passed it.
+
+    Rows wait in the state, a minute spread over ``SPREAD`` groups by a hash, so that a busy one is
+    neither one row of state nor one task. A failure more than ``lateness`` seconds behind the
+    newest of earlier epochs is too late, and one without a time belongs to no minute; neither
+    comes. ``stream_retention_split`` before it keeps such rows apart.
+    """
+    at = F.col(f"`{time}`").cast("timestamp")
+    held = failures.select(at.alias("at"), F.struct("*").alias("message"))
+    part = F.pmod(F.xxhash64("message"), F.lit(SPREAD))
+    return (
+        held.withWatermark("at", f"{lateness} seconds")
+        .groupBy(F.window("at", f"{seconds} seconds").alias("minute"), part.alias("part"))
+        .agg(F.collect_list("message").alias("messages"))
+        .select(F.explode("messages").alias("message"))
+        .select("message.*")
+    )
+
+
 def stream_batches(
     failures: DataFrame,
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
     rows: int = BATCH_ROWS,
     seconds: int = BATCH_SECONDS,
+    lateness: int = BATCH_LATENESS,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Hand batches of failures to ``handle(batches, epoch)`` every ``seconds``.
+    """Hand batches of failures to ``handle(batches, epoch)``, each minute in one epoch.
 
-    An epoch may be replayed after a failure; write by epoch to stay exactly-once. Numbers
-    restart in every epoch, so (epoch, window_start, batch) names a batch.
+    (window_start, batch) names a batch. A minute is handed on when the watermark has passed its
+    end, so its batches are the same whatever came in which file, order or epoch, and after a
+    restart. The last minutes wait for a later row; one with null in all other columns
+    will do (``query_id`` null: it moves the watermark and is in no batch). An epoch may be
+    replayed after a failure; write by epoch to stay exactly-once.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
 
     def run(epoch_rows: DataFrame, epoch: int) -> None:
-        # Numbering looks at the rows twice; the source is read once.
-        epoch_rows.persist()
+        # Numbering looks at the rows twice; the state is read once.
+        epoch_rows = epoch_rows.where(F.col("query_id").isNotNull()).persist()
         try:
             handle(failure_batches(epoch_rows, rows, seconds), epoch)
         finally:
             epoch_rows.unpersist()
 
     return (
-        failures.writeStream.foreachBatch(run)
+        closed_minutes(failures, seconds, lateness)
+        .writeStream.outputMode("append")
+        .foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

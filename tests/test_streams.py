@@ -104,6 +104,58 @@ def test_failure_batches(spark, hot_rows):
     assert all(r["batch"] == 1 for r in got if r["query_id"] >= 1000)
 
 
+def batches_of(spark, tmp_path, name, deliveries):
+    """What ``stream_batches`` makes of files that come one after another, a run for each."""
+    base, out = str(tmp_path / name), tmp_path / f"{name}-out"
+    stream_schema = "query_id bigint, created_at timestamp, note string"
+
+    def handle(batches, epoch):
+        batches.select("query_id", "window_start", "batch", "note").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    for rows in deliveries:
+        spark.createDataFrame(rows, stream_schema).coalesce(1).write.mode("append").parquet(f"{base}/messages.parquet")
+        failures = jobs.read_stream(spark, base, "messages")
+        jobs.stream_batches(failures, handle, str(tmp_path / f"{name}-check"), available_now=True).awaitTermination()
+    found = spark.read.parquet(str(out)).select("query_id", "window_start", "batch", "note").collect()
+    return sorted(map(tuple, found))
+
+
+def test_batches_do_not_depend_on_epochs(spark, tmp_path):
+    # Two busy minutes and some quiet ones; rows of a minute are out of order.
+    rows = [(i, T0 + timedelta(seconds=(i * 37) % 120), f"n{i}") for i in range(500)]
+    rows += [(1000 + i, T0 + timedelta(minutes=3 + i), None) for i in range(4)]
+    rows += [(rows[7][0], rows[7][1], "again"), (None, None, None), (2000, None, "no time")]
+    tick = [(None, T0 + timedelta(days=1), None)]
+    once = batches_of(spark, tmp_path, "once", [rows + tick])
+    want = []
+    for minute in range(8):
+        start = T0 + timedelta(minutes=minute)
+        inside = sorted((r[1], r[0], r[2]) for r in rows if r[0] is not None and r[1] and start <= r[1] < start + timedelta(minutes=1))
+        want += [(q, start, n // 100 + 1) for n, (_, q, _) in enumerate(inside)]
+    assert sorted(r[:3] for r in once) == sorted(want) and len(once) == 505
+    assert sorted(r[3] or "" for r in once) == sorted(r[2] or "" for r in rows if r[0] is not None and r[1])
+
+    # Seven files, each with a restart before it, newest rows of the first minutes first.
+    early = [r for r in rows if r[1] is None or r[1] < T0 + timedelta(minutes=2)]
+    late = [r for r in rows if r[1] is not None and r[1] >= T0 + timedelta(minutes=2)]
+    files = [early[i::5][::-1] for i in range(5)] + [late, tick]
+    numbers = lambda found: sorted((q, w, b) for q, w, b, _ in found)
+    assert numbers(batches_of(spark, tmp_path, "pieces", files)) == numbers(once)
+    # Without a later row the last minutes wait.
+    waiting = batches_of(spark, tmp_path, "waiting", [early, late])
+    assert {r[1] for r in waiting} == {T0, T0 + timedelta(minutes=1), T0 + timedelta(minutes=3), T0 + timedelta(minutes=4)}
+
+
+def test_an_epoch_of_batches_run_again(spark, tmp_path):
+    rows = [(i, T0 + timedelta(seconds=i % 60), None) for i in range(150)] + [(None, T0 + timedelta(days=1), None)]
+    first = batches_of(spark, tmp_path, "again", [rows])
+    commits = tmp_path / "again-check" / "commits"
+    last = sorted(p.name for p in commits.glob("[0-9]*"))[-1]
+    (commits / last).rename(tmp_path / "lost")
+    (commits / f".{last}.crc").rename(tmp_path / "lost.crc")
+    assert len(first) == 150 and batches_of(spark, tmp_path, "again", [[]]) == first
+
+
 def test_feedback_stream_over_epochs(spark, tmp_path):
     folder = str(tmp_path / "messages.parquet")
     schema = "feedback_id bigint, query_id bigint, feedback int, submitted_at timestamp"
