@@ -28,6 +28,8 @@ FACTOR = 1.0
 SHARD_ROWS = 16_384
 QUERY_ROWS = 2_048
 LEAF_ROWS = 64
+#: Partitions of the search; more groups than that share them.
+MAX_PARTITIONS = 20_000
 EVERY = 100
 
 
@@ -161,6 +163,9 @@ def nearest(
         })
 
     keys = ("size", "shard", "block")
+    # Work is a shard times a block, whatever their bytes: groups are not merged by bytes.
+    spread = min(4 * shards * blocks, MAX_PARTITIONS)
+    dealt, questions = dealt.repartition(spread, *keys), questions.repartition(spread, *keys)
     found = dealt.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInPandas(
         search, "query_id long, vec_id long, score double"
     )
