@@ -96,7 +96,8 @@ def distribution(pairs: DataFrame, column: str, percent: bool = False) -> DataFr
     """Count per value, ordered by value; with ``percent`` also the share of all rows."""
     counts = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     if percent:
-        share = F.col("n") * 100 / pairs.select(F.count(F.lit(1))).scalar()
+        # The total of the same counts: their exchange serves twice, the pairs are read once.
+        share = F.col("n") * 100 / counts.select(F.sum("n")).scalar()
         counts = counts.withColumn("percent", F.round(share, 1))
     return counts.orderBy(F.col(column).asc_nulls_last())
 
