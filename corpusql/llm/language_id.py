@@ -248,7 +248,9 @@ def identified(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Dat
                     out.append((langs[best], float(min(1.0, max(0.0, cosines[best])))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    made = docs.withColumn("_found", predict("text"))
+    # Not deterministic, as far as the optimizer knows: else a filter on the result copies the
+    # call below itself, and every text is looked at twice.
+    made = docs.withColumn("_found", predict.asNondeterministic()("text"))
     return made.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn(
         "score", F.col("_found.score")
     ).drop("_found")
