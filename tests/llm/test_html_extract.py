@@ -2,7 +2,9 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from corpusql.llm.html_extract import digest, extracted, host_of, main_text, page_digests, page_tokens, templates
+from corpusql.llm.html_extract import (
+    digest, displaced, extracted, host_of, main_text, page_digests, page_sequence, page_tokens, slots, templates,
+)
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style>
 <script>var t="</p>";</script></head><body class="nav"><header><h1>Site</h1></header>
@@ -87,3 +89,53 @@ def test_articles_in_side_parts_are_none():
     for layout in ("with-sidebar", "content-sidebar-wrap", "sidebar-layout", "page has-footer", "no-sidebar"):
         assert main_text(f"<div class='{layout}'><p>no</p><article>post</article></div>", frozenset()) == "post"
     assert main_text("<article></article><div>post</div>", frozenset()) == "post"
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in page_digests(df).collect()}
+
+
+def test_a_class_keeps_only_tokens_in_one_order(spark):
+    pair = ["<p class=x>Alpha</p>", "<p class=y>Beta</p>"]
+    page = lambda i: f"<article><h1>T{i}</h1>{''.join(pair[:: 1 if i % 2 else -1])}<div>Always here</div></article>"
+    out = texts_of(spark, [page(i) for i in range(20)])
+    for i in range(20):
+        lines = out[i].split("\n")
+        # One of the two stands in order with the rest of the class; the other moves and is no template.
+        assert lines[0] == f"T{i}" and len(lines) == 2 and lines[1] in ("Alpha", "Beta")
+    assert len({text.split("\n")[1] for text in out.values()}) == 1
+
+
+def test_classes_that_cross_are_not_both_template(spark):
+    # The two are on all pages but one: another vector than the rest.
+    four, five = "<p class=d>Four</p>", "<p class=e>Five</p>"
+
+    def page(i, nested):
+        first, second = ("", "") if i == 7 else (four + five, "") if nested else (four, five)
+        return (f"<article><h1>T{i}</h1><p class=a>One</p>{first}<p class=b>Two</p>{second}"
+                f"<p class=c>Three</p>Words {i}</article>")
+
+    nested = texts_of(spark, [page(i, True) for i in range(20)])
+    assert nested[3] == "T3\nWords 3" and nested[7] == "T7\nWords 7"
+    crossed = texts_of(spark, [page(i, False) for i in range(20)])
+    assert crossed[3] == "T3\nFour\nFive\nWords 3" and crossed[7] == "T7\nWords 7"
+    later = lambda i: page(i, True).replace(four + five, "").replace("Two</p>", f"Two</p>{four}{five}" if i != 7 else "Two</p>")
+    moving = texts_of(spark, [page(i, True) if i % 2 else later(i) for i in range(20)])
+    assert moving[3] == "T3\nFour\nFive\nWords 3"
+
+
+def test_a_page_that_leaves_the_order_keeps_its_blocks():
+    page = "<article><h1>T</h1><p class=x>Alpha</p><p>text</p><p class=y>Beta</p></article>"
+    kinds = [digest("/article/p.x", "Alpha"), digest("/article/p.y", "Beta")]
+    assert set(kinds) <= set(page_sequence(page))
+    assert slots(page, [kinds]) == [(None, True, ["T"]), ((0, 1), True, ["text"])]
+    assert main_text(page, [kinds]) == "T\ntext"
+    assert main_text(page, [kinds[::-1]]) == "T\nAlpha\ntext\nBeta"
+
+
+def test_displaced():
+    assert displaced([1, 2, 3, 1, 2, 3], [1, 2, 3]) == set()
+    assert displaced([3, 1, 2, 4], [1, 2, 3, 4]) == {3}
+    assert displaced([1, 1, 2, 2], [1, 2]) == {1, 2}
+    assert len(displaced([2, 1, 3, 1, 2, 3], [1, 2, 3])) == 1
