@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import fold
@@ -266,8 +266,10 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return profiles(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang"))
 
 
-#: Learning rows that limits are taken from, about; lengths of pieces of them, as powers of two.
-LIMIT_ROWS, PIECES = 4_000, (4, 13)
+#: Lengths of the pieces of learning texts that limits are taken from, as powers of two.
+PIECES = (4, 13)
+#: Cosines are counted in so many cells from 0 to 1.
+CELLS = 10_000
 #: A limit is this share of this quantile, from so many pieces of a length at least.
 LIMIT_SHARE, LIMIT_QUANTILE, LIMIT_PIECES = 0.5, 0.05, 50
 
@@ -282,22 +284,27 @@ def limits(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> list[tu
 
     Half the cosine that all but 5 % of learning texts cut to that length have with their own
     language. Lengths with few pieces, and those below the shortest, are left to the next
-    shorter one or to the caller. Only some of the rows are scored, however many there are.
+    shorter one or to the caller. Every learning row is cut and scored; cosines are counted, so
+    the 5 % end at a number of four digits, the same on every run.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    step = max(1, rows.count() // LIMIT_ROWS)
-    rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(step)) == 0)
     sizes = F.array(*(F.lit(1 << k) for k in range(PIECES[0], PIECES[1] + 1)))
     pieces = rows.select("lang", "text", F.explode(sizes).alias("n")).where(F.length("text") >= F.col("n")).select(
         "lang", F.expr("substring(text, 1, n)").alias("text")
     )
     right = identified(pieces, langs, prototypes).where(F.col("lang") == F.col("lang_pred"))
+    cells = (
+        right.groupBy(length_class(F.col("text")).alias("size"), F.floor(F.col("score") * CELLS).alias("cell"))
+        .agg(F.count("*").alias("n"))
+    )
+    upward = Window.partitionBy("size").orderBy("cell")
     found = (
-        right.groupBy(length_class(F.col("text")).alias("size"))
-        .agg(F.count("*").alias("n"), F.percentile_approx("score", LIMIT_QUANTILE).alias("score"))
-        .where(F.col("n") >= LIMIT_PIECES).orderBy("size").collect()
+        cells.withColumn("upto", F.sum("n").over(upward))
+        .withColumn("all", F.sum("n").over(Window.partitionBy("size")))
+        .where((F.col("all") >= LIMIT_PIECES) & (F.col("upto") >= LIMIT_QUANTILE * F.col("all")))
+        .groupBy("size").agg(F.min("cell").alias("cell")).orderBy("size").collect()
     )
-    return [(r["size"], LIMIT_SHARE * r["score"]) for r in found]
+    return [(r["size"], LIMIT_SHARE * r["cell"] / CELLS) for r in found]
 
 
 def language_of(docs: DataFrame) -> DataFrame:

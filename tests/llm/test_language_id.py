@@ -1,7 +1,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusql.llm.language_id import BLOCK, CODES, Space, identified, language_of, profiles
+from corpusql.llm.language_id import (
+    BLOCK, CODES, LIMIT_PIECES, Space, held_out, identified, language_of, learn, limits, profiles,
+)
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
@@ -56,3 +58,19 @@ def test_odd_rows(spark):
     assert got == [(1, "en"), (2, "und"), (3, "und"), (4, "und"), (5, "de"), (None, "de"), (5, "en")]
     assert [r.lang_pred for r in identified(df.limit(1), [], np.zeros((0, 512))).collect()] == ["und"]
     assert language_of(df.limit(0)).count() == 0
+
+
+def test_limits_come_from_every_learning_row(spark):
+    long = F.concat_ws(" ", F.lit("the quick brown fox jumps over the lazy dog and runs on and on to"), F.col("doc_id"))
+    docs = spark.range(12_000).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), (F.col("id") % 130 == 0).alias("is_long")
+    ).withColumn("text", F.when(F.col("is_long"), long).otherwise("some more words here"))
+    learned = docs.where(~held_out())
+    # Enough long texts in all, too few in every second row.
+    assert LIMIT_PIECES <= learned.where("is_long").count() < 2 * LIMIT_PIECES - 10
+    langs, prototypes = learn(docs)
+    found = dict(limits(docs, langs, prototypes))
+    assert max(found) == 6
+    pieces = learned.where("is_long").select(F.expr("substring(text, 1, 64)").alias("text"))
+    scores = sorted(r.score for r in identified(pieces, langs, prototypes).collect())
+    assert found[max(found)] == int(scores[-(-len(scores) * 5 // 100) - 1] * 10_000) / 20_000
