@@ -119,6 +119,12 @@ def fits(registry: DataFrame, most: int = FIT_BYTES) -> bool:
     return (registry.agg(F.sum(size)).first()[0] or 0) <= most
 
 
+def _numbers(df: DataFrame) -> Column:
+    """``embedding`` as it moves: single precision stays so, all else is double. Tasks work in double."""
+    single = df.schema["embedding"].dataType.simpleString() == "array<float>"
+    return F.col("embedding") if single else F.col("embedding").cast("array<double>")
+
+
 def ranked_rows(
     questions: DataFrame,
     registry: DataFrame,
@@ -134,10 +140,8 @@ def ranked_rows(
     name may repeat; question_id must not.
     """
     k = k or TOP_K
-    asked = questions.withColumn("q_vec", F.col("embedding").cast("array<double>")).drop("embedding")
-    tables = registry.select(
-        "schema_name", "table_name", "row_key", F.col("embedding").cast("array<double>").alias("t_vec")
-    )
+    asked = questions.withColumn("q_vec", _numbers(questions)).drop("embedding")
+    tables = registry.select("schema_name", "table_name", "row_key", _numbers(registry).alias("t_vec"))
     if fits(registry, fit_bytes):
         ranked = _ranked_in_place(asked, tables, k)
     else:

@@ -166,3 +166,52 @@ def test_repeated_table_names_stay_apart(spark):
     assert rows[0]["distance"] < rows[1]["distance"]
     every = retrieval_batch(asked, registry, 4).collect()
     assert sorted(r["rank"] for r in every) == [1, 2, 3, 4]
+
+
+def test_what_moves_grows_with_the_rows(spark, monkeypatch):
+    """Rows read by the search of the rest: each question once, each table once for a group at most."""
+    monkeypatch.setattr(pivots, "GROUPS", 4)
+    rng = np.random.default_rng(5)
+    moved = []
+    read = pivots._read_groups
+
+    def counted(*args):
+        job, seen = read(*args), spark.sparkContext.accumulator(0)
+        moved.append(seen)
+
+        def outer(batches):
+            def through():
+                for batch in batches:
+                    seen.add(len(batch))
+                    yield batch
+
+            yield from job(through())
+
+        return outer
+
+    monkeypatch.setattr(pivots, "_read_groups", counted)
+    groups = max(4, spark.sparkContext.defaultParallelism)
+    for n in (600, 1200):
+        vec = lambda: [float(x) for x in rng.normal(size=24)]
+        tables = spark.createDataFrame(
+            [("one", f"t{i}", i, vec()) for i in range(n)], "schema_name string, table_name string, row_key bigint, t_vec array<double>"
+        )
+        asked = spark.createDataFrame([(i, "one", vec()) for i in range(n)], "question_id int, schema_name string, q_vec array<double>")
+        rows = lambda df: sorted((r.question_id, r.rank, r.table_name) for r in df.collect())
+        assert rows(pivots.ranked(asked, tables, 5, 20)) == rows(retrieval._ranked_in_place(asked, tables, 5))
+        # Visits of single blocks would be about n * n / 20.
+        assert n < moved[-1].value <= n + groups * n
+
+
+def test_questions_near_one_pivot_are_cut_evenly():
+    from pyspark.sql import Row
+
+    import pandas as pd
+
+    blocks = {"s": pd.DataFrame({"n": [10, 10]}), "u": pd.DataFrame({"n": [5]})}
+    counts = [Row(schema_name="s", near=0, n=90), Row(schema_name="s", near=1, n=10), Row(schema_name="u", near=0, n=100),
+              Row(schema_name="none", near=0, n=7)]
+    slots = pivots._slots(counts, blocks, 1)
+    assert [(r[0], r[1], r[4], r[5], r[6]) for r in slots] == [("s", 0, 0, 90, 100), ("s", 1, 90, 10, 100), ("u", 0, 0, 100, 100)]
+    assert slots[0][3] > slots[2][3] >= 1 and slots[2][2] == slots[0][3]
+    assert pivots._slots([], blocks, 1) == []
