@@ -122,8 +122,8 @@ class Encoder:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         self.special_names = special
-        #: word -> (ids as little-endian unsigned 32-bit bytes, ids as decimal text)
-        self.words: dict[str, tuple[bytes, str]] = {}
+        #: word -> (ids as little-endian unsigned 32-bit bytes, ids as decimal text, bytes of the ids' tokens)
+        self.words: dict[str, tuple[bytes, str, bytes]] = {}
         self.pairs: dict[int, bool] = {}
         gc.freeze()  # long-lived and free of cycles: not worth a look at every collection
         gc.disable()
@@ -170,7 +170,9 @@ class Encoder:
             for size in range(shared + 1, len(word) + 1):
                 tail = word[size - 3 : size] if size > 2 else word[:size]
                 for n in lengths.get(tail) or self._lengths_of(tail):
-                    token = get(word[size - n : size]) if n <= size else None
+                    if n > size:
+                        continue
+                    token = get(word[size - n : size])
                     if token is not None:
                         if n == size:
                             break
@@ -197,15 +199,28 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces of text (each cut by the pattern first) into the cache."""
-        cut = {piece: self.pattern.findall(piece) for piece in pieces}
-        words, shown = self.words, self.vocabulary.shown
-        new = {w.encode(): w for ws in cut.values() for w in ws if w not in words}
+        words, shown, table = self.words, self.vocabulary.shown, self.vocabulary.bytes
+        new: dict[bytes, str] = {}
+        cut: dict[str, list[str]] = {}
+        for piece in pieces:
+            # A to Z alone, or after one blank, are one word of the pattern.
+            bare = piece[1:] if piece[0] == " " else piece
+            if bare.isascii() and bare.isalpha():
+                new[piece.encode()] = piece
+            else:
+                cut[piece] = self.pattern.findall(piece)
+        new |= {w.encode(): w for ws in cut.values() for w in ws if w not in words}
         order = sorted(new)
         for word, ids in zip(order, self.walk(order)):
-            words[new[word]] = pack(f"<{len(ids)}I", *ids), ",".join([shown[i] for i in ids])
+            words[new[word]] = (
+                pack(f"<{len(ids)}I", *ids), ",".join([shown[i] for i in ids]), b"".join([table[i] for i in ids])
+            )
         for piece, ws in cut.items():
             if len(ws) > 1:
-                words[piece] = b"".join([words[w][0] for w in ws]), ",".join([words[w][1] for w in ws])
+                own = [words[w] for w in ws]
+                words[piece] = (
+                    b"".join([w[0] for w in own]), ",".join([w[1] for w in own]), b"".join([w[2] for w in own])
+                )
 
     def _pieces(self, text: str) -> list[str]:
         """Parts that the pattern cuts independently of each other.
@@ -240,7 +255,7 @@ class Encoder:
                 out += self._pieces(part)
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str, bytes]]]:
         """Encoded pieces of each text, in order; new words share tries of ``TRIE_CHARS``."""
         part, size = [], 0
         for text in texts:
@@ -251,14 +266,14 @@ class Encoder:
                 part, size = [], 0
         yield from self._encode(part)
 
-    def _encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
+    def _encode(self, texts: list[str]) -> Iterator[list[tuple[bytes, str, bytes]]]:
         cut = [self.pieces(text) for text in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new = set().union(*cut).difference(self.words)
         for name in new.intersection(self.special_names):
             i = self.vocabulary.special[name]
-            self.words[name] = pack("<I", i), str(i)
+            self.words[name] = pack("<I", i), str(i), self.vocabulary.bytes[i]
         self.learn(new.difference(self.special_names))
         words = self.words
         for pieces in cut:
@@ -267,7 +282,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         for pieces in self.encode(texts):
-            yield b"".join([ids for ids, _ in pieces])
+            yield b"".join([ids for ids, _, _ in pieces])
 
     def decode(self, ids: list[int]) -> str:
         table = self.vocabulary.bytes
@@ -319,12 +334,13 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = Encoder(path)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for pairs in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
-                ids = np.frombuffer(b"".join([a for a, _ in pairs]), "<u4").tolist()
-                shown = ",".join([b for _, b in pairs])
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(shown.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+            for pieces in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
+                # Ids are decoded once for each distinct piece; a text's bytes are those of its pieces.
+                ids, shown, raw = zip(*pieces) if pieces else ((), (), ())
+                counts.append(sum(map(len, ids)) // 4)
+                ids_sha.append(hashlib.sha256(",".join(shown).encode()).hexdigest())
+                text = b"".join(raw).decode("utf-8", "replace")
+                text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
                  pa.array(text_sha, pa.string())],

@@ -41,3 +41,10 @@ def test_trie_walk_equals_plain_merging():
     words = sorted({t.encode() for t in TEXTS for t in encoder.pattern.findall(t)})
     for word, ids in zip(words, encoder.walk(words)):
         assert ids == encoder.vocabulary.merged(word)
+
+
+def test_pieces_carry_the_bytes_of_their_ids():
+    encoder = Encoder(default_vocabulary())
+    for text, pieces in zip(TEXTS, encoder.encode(TEXTS)):
+        ids = [int(i) for _, shown, _ in pieces for i in shown.split(",")]
+        assert b"".join(raw for _, _, raw in pieces).decode("utf-8", "replace") == encoder.decode(ids) == text
