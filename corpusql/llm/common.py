@@ -53,6 +53,20 @@ def work_table(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
                 conf.set(key, value)
 
 
+#: Rows of a file where a table's rows are known, about.
+FILE_ROWS = 100_000
+
+
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, for a table: in a file for each core, or for ``FILE_ROWS`` rows.
+
+    Else a few rows lie in as many files as shuffles have partitions, and each round over them
+    opens all of these. Nothing is shuffled; partitions of the last exchange are read together.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // FILE_ROWS)))
+
+
 def _table(df: DataFrame, name: str, codec: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, f"llm-{name}")

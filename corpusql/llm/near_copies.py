@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import discard, work_table
+from corpusql.llm.common import discard, in_few_files, work_table
 from corpusql.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE = 5
@@ -178,7 +178,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counts = work_table(
         texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-        .mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts", BATCH
+        .mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        .transform(in_few_files, 1 << BUCKET_BITS), "counts", BATCH
     )
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
     # Fewer than 2^20 / COMMON numbers, however large the corpus is.
@@ -186,12 +187,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = work_table(
         texts.mapInArrow(_sets(common), "doc_id long, sign long, bits long, size long, firsts array<long>"), "sets", BATCH
     )
-    owners = work_table(sets.groupBy("sign").agg(F.min("doc_id").alias("node")), "owners")
+    documents, entries = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("firsts")), F.lit(0))).first()
+    owners = work_table(in_few_files(sets.groupBy("sign").agg(F.min("doc_id").alias("node")), documents), "owners")
     own = sets.join(owners.select("sign", F.col("node").alias("doc_id")), ["sign", "doc_id"], "left_semi")
     places = own.select(F.col("doc_id").alias("node"), "size", F.posexplode("firsts").alias("place", "shingle")).distinct()
-    places = work_table(places, "places")
+    places = work_table(in_few_files(places, entries), "places")
     shared = places.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    left = work_table(places.join(shared, "shingle", "left_semi").withColumn("component", F.col("node")), "left")
+    left = places.join(shared, "shingle", "left_semi").withColumn("component", F.col("node"))
+    left = work_table(in_few_files(left, entries), "left")
     firsts = left
     discard(counts, places)
 
@@ -214,27 +217,34 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return work_table(
             pairs.join(lists.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
             .join(lists.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-            .select("u", "v", "b", "a").mapInArrow(_near, "u long, v long").distinct(), "near", BATCH,
+            .select("u", "v", "b", "a").mapInArrow(_near, "u long, v long").distinct()
+            .transform(in_few_files, pairs.count()), "near", BATCH,
         )
 
     # A document of several sets links them.
     mine = sets.join(owners, "sign").select("doc_id", "node").distinct()
     several = mine.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     edges = several.join(mine, "doc_id").select("u", F.col("node").alias("v")).where("u <> v")
+    edges = work_table(in_few_files(edges, documents), "several")
 
     # Fingerprints first: of equal ones each set meets the first, and firsts meet by their bits.
     prints = own.select(F.col("doc_id").alias("node"), "bits")
-    members = work_table(prints.groupBy("bits").agg(F.min("node").alias("node")), "members")
+    members = work_table(in_few_files(prints.groupBy("bits").agg(F.min("node").alias("node")), documents), "members")
     alike = prints.join(members.withColumnRenamed("node", "u"), "bits").select("u", F.col("node").alias("v"))
     alike = alike.where("u <> v").union(links(members).select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
-    tested = work_table(alike, "pairs")
+    tested = work_table(in_few_files(alike, documents), "pairs")
     edges = edges.union(verified(tested))
+
+    def rooted() -> DataFrame:
+        rows = edges.count()
+        return work_table(in_few_files(components(edges, rows), 2 * rows), "roots")
+
     for turn in range(ROUNDS + 1):
-        roots = work_table(components(edges), "roots")
+        roots = rooted()
         now = firsts.drop("component").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
         now = now.select("shingle", "node", "size", "place", "component")
         mixed = now.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-        now = work_table(now.join(mixed.select("shingle"), "shingle", "left_semi"), "left")
+        now = work_table(in_few_files(now.join(mixed.select("shingle"), "shingle", "left_semi"), entries), "left")
         if left is not firsts:
             discard(left)
         left = now
@@ -250,10 +260,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         else:
             pairs = _all_met(left)
         pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        pairs = work_table(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        pairs = work_table(in_few_files(pairs.join(tested, ["u", "v"], "left_anti"), entries), "pairs")
         tested = tested.union(pairs)
         edges = edges.union(verified(pairs))
-    roots = work_table(components(edges), "roots")
+    roots = rooted()
     return mine.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import written
+from corpusql.llm.common import in_few_files, written
 
 SEED = 42
 SHINGLE = 3
@@ -170,19 +170,20 @@ def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(array[:, 0]), pa.array(array[:, 1])], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node and root (the smallest node of its component) for every node on an edge.
 
     Large-star and small-star in turn, until the edges are stars around the smallest nodes.
     Each step folds a node's neighbours to their minimum (partial sums first) and joins it
     back, which adaptive execution splits where a node is hot. Rounds grow with the logarithm
-    of the longest chain. Every round is a table in the shared folder.
+    of the longest chain. Every round is a table in the shared folder, in files by its rows;
+    ``rows`` says about how many edges there are at first, where this is known.
     """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u <> v").distinct(), "edges",
-    )
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    now = written(now if rows is None else in_few_files(now, rows), "edges")
+    if rows is None:
+        rows = now.count()
     before = None
     while True:
         # Large star: larger neighbours of u move to the smallest around u.
@@ -197,9 +198,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")
         )
-        after = written(moved.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        moved = moved.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
+        after = written(in_few_files(moved, rows), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = after
+        now, rows = after, state[0]
         if state == before:
             break
         before = state

@@ -73,3 +73,24 @@ def test_stage_drops_edited_copies(spark, documents):
         rows += [" ".join(base), " ".join(copy), " ".join(base[:200] + [word() for _ in range(200)])]
     kept = corpus_pipeline.near_copies(spark, documents(rows), "").collect()
     assert sorted(r.doc_id for r in kept) == [i for i in range(60) if i % 3 != 1]
+
+
+def test_few_rows_lie_in_few_files(spark, documents, monkeypatch):
+    """However many partitions shuffles have, tables of few rows have a file for each core at most."""
+    made = []
+    keep = module.work_table
+    monkeypatch.setattr(module, "work_table", lambda df, name, *batch: made.append((name, keep(df, name, *batch))) or made[-1][1])
+    rows = texts()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in near_copies(documents(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == dict(enumerate(brute(rows)))
+    cores = spark.sparkContext.defaultParallelism
+    kept = [(name, t) for name, t in made if name not in ("counts", "places", "left")]  # the others are discarded
+    assert len(kept) > 10
+    assert all(len(t.inputFiles()) <= cores for _, t in kept)
