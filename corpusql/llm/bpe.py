@@ -6,7 +6,8 @@ encodings of the word and of all its prefixes. The distinct new words of a batch
 it is walked depth first (sorted words are that walk, the common part of neighbours being the
 shared nodes), and each node gets its last token from the states above it. A token can be last
 if it may stand after the token in front of it: merging the two tokens' bytes alone yields
-just these two.
+just these two. Which tokens a prefix ends in is known from its state, its longest end that
+begins a token.
 
 Encoded words are kept for the rest of the task, ``CACHE_WORDS`` at most; then the cache
 starts anew, which costs time and changes nothing.
@@ -81,24 +82,32 @@ class Vocabulary:
         for pair, (rank, made) in self.ranks.items():
             if made not in self.parts:
                 self.parts[made], self.born[made] = pair, rank
-        #: lengths of the tokens that end in these (up to three) bytes, longest first
-        self.lengths: dict[bytes, list[int]] = {}
-        for token in sorted(self.ids, key=len, reverse=True):
-            for tail in {token[-1:], token[-2:], token[-3:]}:
-                sizes = self.lengths.setdefault(tail, [])
-                if not sizes or sizes[-1] != len(token):
-                    sizes.append(len(token))
-        # A tail of three bytes is asked for with the shorter tokens inside it.
-        for tail in [t for t in self.lengths if len(t) == 3]:
-            for part in (tail[1:], tail[2:]):
-                if part in self.ids:
-                    self.lengths[tail].append(len(part))
-        for tail in [t for t in self.lengths if len(t) == 2]:
-            self.lengths[tail] = [n for n in self.lengths[tail] if n >= 2] + [1]
-        for tail in self.lengths:
-            self.lengths[tail] = sorted(set(self.lengths[tail]), reverse=True)
+        #: Beginnings of tokens are states: a text's state is its longest end that is one, so all
+        #: tokens it ends in are ends of the state. States and steps are made when first met.
+        self.beginnings = {token[:n] for token in self.ids for n in range(1, len(token) + 1)}
+        self.states: dict[bytes, int] = {b"": 0}
+        self.state_bytes: list[bytes] = [b""]
+        #: by state: (length, token) of the tokens it ends in, longest first
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.steps: dict[int, int] = {}
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
 
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte; kept for the next time."""
+        end = self.state_bytes[state] + bytes([byte])
+        while end not in self.beginnings:
+            end = end[1:]
+        after = self.states.get(end)
+        if after is None:
+            after = self.states[end] = len(self.ends)
+            self.state_bytes.append(end)
+            tails = (end[at:] for at in range(len(end)))
+            self.ends.append([(len(t), self.ids[t]) for t in tails if t in self.ids])
+        if len(self.steps) >= CACHE_PAIRS:
+            self.steps.clear()
+        self.steps[state << 8 | byte] = after
+        return after
+
     def merged(self, word: bytes) -> list[int]:
         """Plain BPE: the best-ranked pair first, leftmost among equals."""
         ids = [self.byte_ids[b] for b in word]
@@ -158,27 +167,28 @@ class Encoder:
 
     def walk(self, words: list[bytes]) -> Iterator[list[int]]:
         """Token ids of each word; ``words`` are distinct and sorted, which is trie order."""
-        v, pairs, fits = self.vocabulary, self.pairs, self._fits
-        get, known, lengths, size_of = v.ids.get, pairs.get, v.lengths, v.sizes
+        v, known, fits = self.vocabulary, self.pairs.get, self._fits
+        step, ends, size_of = v.steps.get, v.ends, v.sizes
         path = b""
         last: list[int] = [-1]  # last[i]: last token of the prefix of i bytes
+        states: list[int] = [0]  # and its state
         for word in words:
             shared, end = 0, min(len(path), len(word))
             while shared < end and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for size in range(shared + 1, len(word) + 1):
-                tail = word[size - 3 : size] if size > 2 else word[:size]
-                for n in lengths.get(tail) or self._lengths_of(tail):
-                    if n > size:
-                        continue
-                    token = get(word[size - n : size])
-                    if token is not None:
-                        if n == size:
-                            break
-                        fit = known(last[size - n] << 32 | token)
-                        if fit or fit is None and fits(last[size - n], token):
-                            break
+            del last[shared + 1 :], states[shared + 1 :]
+            state, size = states[shared], shared
+            for byte in word[shared:]:
+                size += 1
+                after = step(state << 8 | byte)
+                state = v.step(state, byte) if after is None else after
+                states.append(state)
+                for n, token in ends[state]:
+                    if n == size:
+                        break
+                    fit = known(last[size - n] << 32 | token)
+                    if fit or fit is None and fits(last[size - n], token):
+                        break
                 else:
                     raise ValueError(f"no last token for {word[:size]!r}")
                 last.append(token)
@@ -191,12 +201,6 @@ class Encoder:
             out.reverse()
             yield out
 
-    def _lengths_of(self, tail: bytes) -> list[int]:
-        """No token ends in all of ``tail``: shorter ones, kept for the next time."""
-        found = [n for n in (2, 1) if n < len(tail) and tail[-n:] in self.vocabulary.ids]
-        self.vocabulary.lengths[tail] = found
-        return found
-
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces of text (each cut by the pattern first) into the cache."""
         words, shown, table = self.words, self.vocabulary.shown, self.vocabulary.bytes

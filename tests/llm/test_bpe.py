@@ -48,3 +48,18 @@ def test_pieces_carry_the_bytes_of_their_ids():
     for text, pieces in zip(TEXTS, encoder.encode(TEXTS)):
         ids = [int(i) for _, shown, _ in pieces for i in shown.split(",")]
         assert b"".join(raw for _, _, raw in pieces).decode("utf-8", "replace") == encoder.decode(ids) == text
+
+
+def test_only_tokens_a_text_ends_in_are_asked_for():
+    """A state knows the tokens a text ends in, all of them, so no other bytes are looked up."""
+    encoder = Encoder(default_vocabulary())
+    vocabulary = encoder.vocabulary
+    words = sorted({t.encode() for t in TEXTS for t in encoder.pattern.findall(t)})
+    assert all(ids == vocabulary.merged(word) for word, ids in zip(words, encoder.walk(words)))
+    assert len(vocabulary.state_bytes) > 50
+    for word in words:
+        state = 0
+        for size in range(1, min(len(word), 300) + 1):
+            state = vocabulary.step(state, word[size - 1])
+            tails = (word[at:size] for at in range(size))
+            assert vocabulary.ends[state] == [(len(t), vocabulary.ids[t]) for t in tails if t in vocabulary.ids]
